@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, simhash
-from tessera.llm.common import read
+from tessera.llm import decontaminate, exact_dedup, quality, simhash
+from tessera.llm.common import fold, read
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -16,6 +16,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).drop("rid")
 
@@ -58,6 +64,7 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op3_simhash": op3_simhash,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
