@@ -54,7 +54,7 @@ class WordPieceIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.known_whole: dict[str, bytes] = {}
+        self.known_whole: dict[bytes, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), 2000):
@@ -68,22 +68,18 @@ class WordPieceIds:
 
     def __call__(self, text: bytes) -> bytes:
         s = text.decode("utf-8", "replace")
-        try:
-            plain = s.isascii() or bool(s.encode("latin-1")) or True
-        except UnicodeEncodeError:
-            plain = False
-        if plain and "<|" not in s:
+        if (s.isascii() or max(s) <= "\xff") and "<|" not in s:
             words, known = _PIECES.findall(s.lower()), self.known
             if len(known) > REMEMBERED:
                 known.clear()
             if new := [w for w in set(words) if w not in known]:
                 self._learn(new)
         else:
-            words, known = s.split(), self.known_whole
+            words, known = s.encode().split(), self.known_whole  # of bytes: the six ASCII white-space characters
             if len(known) > REMEMBERED:
                 known.clear()
             if new := [w for w in set(words) if w not in known]:
-                for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
+                for w, e in zip(new, self.whole.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = np.array(e.ids, dtype="<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
