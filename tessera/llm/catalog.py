@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, packing, quality, simhash
+from tessera.llm import ctw, decontaminate, exact_dedup, packing, quality, simhash
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(read(spark, sf_dir, "documents")).drop("rid")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
@@ -68,6 +72,7 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
 QUERIES = {
+    "op2_ctw": op2_ctw,
     "op8_decontaminate": op8_decontaminate,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
