@@ -6,13 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontaminate, exact_dedup, packing, quality, simhash
+from tessera.llm import ctw, decontaminate, exact_dedup, packing, pii, quality, simhash
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+
+    def joined(spans: str):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(read(spark, sf_dir, "documents")).drop("rid")
 
@@ -72,6 +82,7 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_ctw": op2_ctw,
     "op8_decontaminate": op8_decontaminate,
     "op3_simhash": op3_simhash,
