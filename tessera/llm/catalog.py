@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontaminate, exact_dedup, packing, pii, quality, simhash
+from tessera.llm import ctw, decontaminate, exact_dedup, licenses, packing, pii, quality, simhash, token_counts
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,6 +32,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["licence"], m["start"], m["end"]))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))), ",").alias("licences"),
+        F.array_join(spans, ",").alias("spans"),
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), with_ids=False)
 
@@ -46,6 +57,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).drop("rid")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("rid")
+
+
 OP7_SQL = f"""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -86,9 +101,11 @@ QUERIES = {
     "op2_ctw": op2_ctw,
     "op8_decontaminate": op8_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
