@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontaminate, exact_dedup, licenses, packing, pii, quality, simhash, token_counts
+from tessera.llm import ctw, decontaminate, exact_dedup, licenses, packing, pii, quality, secrets, simhash, token_counts
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -57,6 +57,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).drop("rid")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("rid")
 
@@ -105,6 +110,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
 }
 
