@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import retrieval
+
+MODULES = (retrieval,)
+QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
