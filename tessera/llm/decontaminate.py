@@ -78,7 +78,7 @@ def _occurrences(docs: DataFrame, benchmark: DataFrame, windows: DataFrame, text
     around = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.filter(F.sequence(p - (WINDOW - GRAM), p), lambda i: (i >= 0) & (i <= F.col("last"))))))
     spans = near.select("rid", F.explode(F.transform(around, lambda i: F.struct(i.alias("at"), _window(i, WINDOW).alias("window")))).alias("x")).select("rid", "x.at", F.lit(WINDOW).alias("n"), "x.window")
     for (n,) in windows.filter(F.col("n") < WINDOW).select("n").distinct().collect():  # at most nine lengths
-        grams = F.transform(_starts(F.size("w"), n), lambda i, n=n: F.struct(i.alias("at"), _window(i, n).alias("window")))
+        grams = F.transform(_starts(F.size("w"), n), lambda i: F.struct(i.alias("at"), _window(i, n).alias("window")))  # noqa: B023
         every = docs.withColumn("w", words(F.col("text"))).select("rid", F.explode(grams).alias("x"))
         spans = spans.unionByName(every.select("rid", "x.at", F.lit(n).alias("n"), "x.window"))
     known = checkpoint(windows.select("n", "window").distinct())
