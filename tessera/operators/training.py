@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard
+from tessera.session import checkpointed
 
 
 def split(rows: DataFrame, key: str, share: float = 0.1, most: int | None = 500) -> DataFrame:
@@ -73,17 +74,24 @@ def tiered_match(classes: DataFrame, templates: DataFrame, references: DataFrame
     """classes: name; templates: template; references: template, pos, name; manual: name, template.
 
     (name, template, tier): manual pairs first, then templates named like a class, then templates that refer to a class. A
-    template is used once. The last tier takes templates in order; each takes the first class it names that has no pair in
-    an earlier tier, and of templates that take the same class the first one keeps it."""
+    template is used once. In the last tier templates choose in order: each takes the first class it names that has no pair
+    yet. That is done in rounds of joins: each template proposes its next class, a class keeps the first template that
+    proposes, and the others go on; since all classes prefer the same order, the result is that of choosing one by one."""
     by_hand = manual.join(classes, "name", "left_semi").join(templates, "template", "left_semi")
     by_hand = by_hand.groupBy("template").agg(F.min("name").alias("name")).select("name", "template", F.lit("manual").alias("tier"))
     left = templates.join(by_hand, "template", "left_anti")
     exact = left.join(classes, left.template == classes.name).select("name", "template", F.lit("exact").alias("tier"))
     paired = by_hand.unionByName(exact)
     open_refs = references.join(left, "template", "left_semi").join(exact, "template", "left_anti").join(classes, "name", "left_semi").join(paired.select("name").distinct(), "name", "left_anti")
-    first = open_refs.groupBy("template").agg(F.min(F.struct("pos", "name")).alias("at")).select("template", F.col("at.name").alias("name"))
-    last = first.groupBy("name").agg(F.min("template").alias("template")).select("name", "template", F.lit("reference").alias("tier"))
-    return paired.unionByName(last)
+    offers = checkpointed(open_refs.groupBy("template", "name").agg(F.min("pos").alias("pos")))
+    while True:
+        best = offers.groupBy("template").agg(F.min(F.struct("pos", "name")).alias("at")).select("template", F.col("at.name").alias("name"))
+        taken = best.groupBy("name").agg(F.min("template").alias("keeper"))
+        refused = checkpointed(best.join(taken, "name").filter("template <> keeper").select("template", "name"))
+        if refused.isEmpty():
+            break
+        offers = checkpointed(offers.join(refused, ["template", "name"], "left_anti"))
+    return paired.unionByName(taken.select("name", F.col("keeper").alias("template"), F.lit("reference").alias("tier")))
 
 
 def tier_counts(pairs: DataFrame) -> DataFrame:

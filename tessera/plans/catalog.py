@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import corpus, retrieval
+from tessera.plans import code, corpus, retrieval, streams
 
-MODULES = (retrieval, corpus)
+MODULES = (retrieval, corpus, code, streams)
 QUERIES: dict = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
