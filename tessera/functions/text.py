@@ -66,10 +66,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def embedding_text(kind: Column, class_name: Column, method_name: Column, documentation: Column, path: Column, content: Column) -> Column:
+def embedding_text(language: Column, kind: Column, class_name: Column, method_name: Column, documentation: Column, content: Column) -> Column:
     """Labelled lines for the embedding model; empty parts are left out."""
     line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
-    return F.concat_ws("\n", line("Type", kind), line("Class", class_name), line("Method", method_name), line("Documentation", documentation), line("File", path), F.concat(F.lit("Code:\n"), content))
+    return F.concat_ws("\n", line("Language", language), line("Type", kind), line("Class", class_name), line("Method", method_name), line("Documentation", documentation), F.concat(F.lit("Code:\n"), content))
 
 
 def base_type(name: Column) -> Column:

@@ -50,7 +50,7 @@ def batch_pack(spark, sf_dir):
 
 def embedding_texts(spark, sf_dir):
     nothing = F.lit("")
-    text = embedding_text(F.lit("document"), F.col("source"), nothing, F.lit(None).cast("string"), F.col("source"), F.col("text"))
+    text = embedding_text(F.col("lang"), F.lit("document"), F.col("source"), nothing, F.lit(None).cast("string"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("text_sha256"))
 
 
@@ -286,7 +286,7 @@ ORACLES = {
     "oversize_report": "SELECT 'too many tokens' AS reason, lang, count(*) AS n, sum(length(text) // 2)::bigint AS tokens FROM documents WHERE length(text) // 2 > 5000 GROUP BY lang",
     "oversize_largest": "SELECT doc_id, length(text) // 2 AS tokens FROM documents WHERE length(text) // 2 > 5000 ORDER BY tokens DESC, doc_id LIMIT 5",
     "batch_pack": PACK_SQL,
-    "embedding_texts": "SELECT doc_id, sha256(concat_ws(chr(10), 'Type: document', 'Class: ' || source, 'File: ' || source, 'Code:' || chr(10) || text)) AS text_sha256 FROM documents",
+    "embedding_texts": "SELECT doc_id, sha256(concat_ws(chr(10), 'Language: ' || lang, 'Type: document', 'Class: ' || source, 'Code:' || chr(10) || text)) AS text_sha256 FROM documents",
     "chunk_ids": "SELECT doc_id, left(sha256(source || ':' || doc_id || ':document'), 16) AS id FROM documents",
     "intent_classify": f"SELECT conv_id, turn, {INTENT} AS intent FROM {USERS_SQL}",
     "query_recommend": f"SELECT conv_id, turn, {RECOMMEND} FROM {USER_NAMES}",

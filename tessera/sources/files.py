@@ -13,7 +13,7 @@ def files(spark: SparkSession, folder: str, suffixes: list[str], recursive: bool
     """path, text of all files with one of the suffixes; files that are no UTF-8 are left out."""
     glob = "*{" + ",".join(suffixes) + "}" if len(suffixes) > 1 else f"*{suffixes[0]}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(folder)
-    return raw.filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", F.decode("content", "UTF-8").alias("text"))
+    return raw.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).filter("text IS NOT NULL")
 
 
 def relative(df: DataFrame, base: str, column: str = "path") -> DataFrame:
