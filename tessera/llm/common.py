@@ -44,9 +44,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def joinable(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if a count of it allows that, else as it is, for a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+def joinable(df: DataFrame, rows: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
+    """The table with a broadcast hint if a count of it allows that, else as it is, for a shuffled join. Of a table with a
+    column of lists their elements are counted, too."""
+    fits = small(df, rows)
+    if fits and lists:
+        fits = df.agg(F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()[0] <= rows
+    return F.broadcast(df) if fits else df
 
 
 def fold(doc_id, folds: int = 5):

@@ -71,7 +71,7 @@ def _candidates(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFra
 def _occurrences(docs: DataFrame, benchmark: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
     """rid, at (first word), n, window: where a window of an item occurs in a document."""
     shared = checkpoint(_candidates(docs, benchmark, text_col))
-    near = _with_grams(docs.join(joinable(shared), "rid"), "text")
+    near = _with_grams(docs.join(joinable(shared, lists="shared"), "rid"), "text")
     # a shared gram at p is in the windows that begin at p - (WINDOW - GRAM) .. p
     hits = F.filter(_starts(F.size("g"), 1), lambda i: F.array_contains("shared", F.get("g", i)))
     near = near.withColumn("hits", hits).withColumn("last", F.size("w") - WINDOW)
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = by_item.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
     marks = checkpoint(hit.join(named, "rid"))
     sized = rows.select("rid", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = sized.join(joinable(marks, 200_000), "rid", "left")
+    out = sized.join(joinable(marks, lists="items"), "rid", "left")
     return out.select(
         "rid",
         "doc_id",
