@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,19 @@ _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9
 _PIECES = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
+class _Ids(dict):
+    """Ids of words, as bytes; a word that is not there is encoded once."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = ids = struct.pack(f"<{len(found := self.encode(word))}I", *found)
+        return ids
+
+
 class WordPieceIds:
     """Ids of texts by a vocabulary of lower-case words with word ends, as little-endian unsigned 32-bit bytes.
 
@@ -47,41 +61,19 @@ class WordPieceIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.word = Tokenizer(self.whole.model)
-        self.word.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.whole.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.known_whole: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            ids = np.array(self.word.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(part):
-                raise ValueError("a word has no end in the vocabulary")
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, np.r_[0, cut[:-1]].tolist(), cut.tolist(), strict=True))
+        whole = Tokenizer.from_file(path)
+        word = Tokenizer(whole.model)
+        word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        merge = word.model.tokenize
+        # a word of printable ASCII stands for itself among the byte-level symbols; others are mapped first
+        self.known = _Ids(lambda w: [t.id for t in merge(w)] if w.isascii() and w.isprintable() else word.encode(w, add_special_tokens=False).ids)
+        self.known_whole = _Ids(lambda w: whole.encode(w.decode(), add_special_tokens=False).ids)
 
     def __call__(self, text: bytes) -> bytes:
         s = text.decode("utf-8", "replace")
         if (s.isascii() or max(s) <= "\xff") and "<|" not in s:
-            words, known = _PIECES.findall(s.lower()), self.known
-            if len(known) > REMEMBERED:
-                known.clear()
-            if new := [w for w in set(words) if w not in known]:
-                self._learn(new)
-        else:
-            words, known = s.encode().split(), self.known_whole  # of bytes: the six ASCII white-space characters
-            if len(known) > REMEMBERED:
-                known.clear()
-            if new := [w for w in set(words) if w not in known]:
-                for w, e in zip(new, self.whole.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, _PIECES.findall(s.lower())))
+        return b"".join(map(self.known_whole.__getitem__, s.encode().split()))  # of bytes: the six ASCII white-space characters
 
 
 _loaded: dict[str, WordPieceIds] = {}
