@@ -89,4 +89,38 @@ QUERIES = {f.__name__: f for f in (
     java_types, java_methods, java_references, java_chunks, generic_blocks, block_chunks, markdown_sections, template_chunks, template_references, template_of_class,
     tiered_match, tier_counts, unpaired_classes, *(_examples(s) for s in strategies.STRATEGIES),
 )}
-ORACLES: dict = {}
+
+# --- SQL twins of what SQL can say about the samples ---------------------------------------------------------------------
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+TEMPLATES_SQL = "(SELECT path, regexp_extract(path, '([^/]+?)\\.json$', 1) AS template, text FROM (VALUES " + ", ".join(f"({_text(p)}, {_text(t)})" for p, t in samples.TEMPLATES) + ") v(path, text) WHERE json_valid(text))"
+MARKDOWN_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({_text(p)}, {_text(t)})" for p, t in samples.MARKDOWN) + ") v(key, text))"
+NAMED_SQL = f"""(SELECT path, template, unnest(names) AS name, generate_subscripts(names, 1) - 1 AS pos FROM (
+  SELECT *, list_filter(regexp_extract_all(text, '"((?:[^"\\\\]|\\\\.)*)"', 1), lambda x: regexp_matches(x, '^[A-Z][a-zA-Z0-9]+$')) AS names FROM {TEMPLATES_SQL}))"""
+OUTER = "(SELECT * FROM (VALUES ('OrderService'), ('OrderDao'), ('Invoice'), ('Priced')) v(name))"
+MATCH_SQL = f"""WITH m AS (SELECT 'Invoice' AS name, 'page' AS template, 'manual' AS tier),
+e AS (SELECT c.name, t.template, 'exact' AS tier FROM {OUTER} c JOIN {TEMPLATES_SQL} t ON t.template = c.name WHERE t.template NOT IN (SELECT template FROM m)),
+p AS (SELECT * FROM m UNION ALL SELECT * FROM e),
+r AS (SELECT template, name, row_number() OVER (PARTITION BY template ORDER BY pos) AS n FROM {NAMED_SQL}
+  WHERE name IN (SELECT name FROM {OUTER}) AND name NOT IN (SELECT name FROM p) AND template NOT IN (SELECT template FROM p)),
+f AS (SELECT name, min(template) AS template, 'reference' AS tier FROM r WHERE n = 1 GROUP BY name)
+SELECT * FROM p UNION ALL SELECT * FROM f"""
+ID = "left(sha256(path || ':' || {} || ':' || {}), 16)"
+
+ORACLES: dict = {
+    "markdown_sections": f"""WITH l AS (SELECT key, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) AS lines FROM {MARKDOWN_SQL}),
+x AS (SELECT key, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM l),
+s AS (SELECT *, starts_with(line, '#') AS head, sum(starts_with(line, '#')::int) OVER (PARTITION BY key ORDER BY pos) AS section FROM x)
+SELECT key, section::bigint AS section, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^#+', '')) END), '') AS title, min(pos) AS start_line, string_agg(line, chr(10) ORDER BY pos) AS content FROM s GROUP BY key, section""",
+    "template_chunks": f"""SELECT {ID.format("template", "'template'")} AS id, path, 'template' AS chunk_type, NULL AS section, array_to_string(json_keys(text), ',') AS keys FROM {TEMPLATES_SQL}
+UNION ALL SELECT {ID.format("template || '.' || section", "'template_section'")}, path, 'template_section', section, section FROM (SELECT path, template, unnest(json_keys(text)) AS section FROM {TEMPLATES_SQL})""",
+    "template_references": f"SELECT template, pos, name FROM {NAMED_SQL}",
+    "template_of_class": f"SELECT name, min(path) AS path FROM {NAMED_SQL} GROUP BY name",
+    "tiered_match": MATCH_SQL,
+    "tier_counts": f"SELECT t.tier, count(m.tier) AS n FROM (VALUES ('manual'), ('exact'), ('reference')) t(tier) LEFT JOIN ({MATCH_SQL}) m ON m.tier = t.tier GROUP BY t.tier",
+    "unpaired_classes": f"SELECT name FROM {OUTER} WHERE name NOT IN (SELECT name FROM ({MATCH_SQL}))",
+}
