@@ -16,6 +16,8 @@ BROADCAST_ROWS = 1_000_000
 #: Text bytes that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 2_000_000
 
+SPLITS = "spark.sql.files.minPartitionNum"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -26,7 +28,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """Adds an id for each row. It is the same in each scan of the same files, so it may link two scans of one table;
-    repeated or null document ids do not disturb it."""
+    repeated or null document ids do not disturb it.
+
+    How files are cut into partitions depends on the cores that are there, unless ``spark.sql.files.minPartitionNum`` is set;
+    so it is set here once, and an executor lost between two scans does not move a row to another id."""
+    spark = df.sparkSession
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, spark.sparkContext.defaultParallelism)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

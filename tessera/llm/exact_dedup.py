@@ -76,6 +76,19 @@ class CountingQuotientFilter:
         return CountingQuotientFilter(self.first, self.quotients, keys[new], np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
 
 
+def merged(filters: Iterator[CountingQuotientFilter]) -> CountingQuotientFilter | None:
+    """All of them as one. Only filters of like size merge, so an entry moves once for each doubling, however many there are."""
+    held: list[CountingQuotientFilter] = []
+    for one in filters:
+        while held and len(held[-1].keys) <= 2 * len(one.keys):
+            one = held.pop().merge(one)
+        held.append(one)
+    while len(held) > 1:
+        one = held.pop()
+        held.append(held.pop().merge(one))
+    return held[0] if held else None
+
+
 def fingerprint(normalised: bytes) -> int:
     return xxhash.xxh3_64_intdigest(normalised) >> (64 - QUOTIENT_BITS - REMAINDER_BITS)
 
@@ -115,20 +128,13 @@ def repeated_fingerprints(rows: DataFrame, number: int) -> DataFrame:
         if sum(map(len, held)):
             yield out(held)
 
-    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, whole = int(key[0].as_py()) * width, None
-        for b in batches:
-            for raw in b.column("filter"):
-                one = CountingQuotientFilter.from_bytes(raw.as_py(), first, width)
-                whole = one if whole is None else whole.merge(one)
-        yield pa.RecordBatch.from_arrays([pa.array(whole.keys[whole.counts > 1].astype(np.int64))], names=["fp"])
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        first = int(key[0].as_py()) * width
+        whole = merged(CountingQuotientFilter.from_bytes(raw.as_py(), first, width) for raw in table.column("filter"))
+        return pa.table({"fp": whole.keys[whole.counts > 1].astype(np.int64)})
 
     built = rows.select("fp").mapInArrow(build, "slice int, filter binary")
-    return built.groupBy("slice").applyInArrow(lambda key, table: _merged(merge, key, table), "fp long")
-
-
-def _merged(merge, key, table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(list(merge(key, iter(table.to_batches()))))
+    return built.groupBy("slice").applyInArrow(merge, "fp long")
 
 
 def slices_for(rows: int) -> int:

@@ -24,6 +24,28 @@ def test_slices_merge_without_loss(parts, number):
     assert found == dict(Counter(x for p in parts for x in p))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 50), min_size=1, max_size=30), max_size=9))
+def test_any_number_of_filters_merge(parts):
+    whole = ed.merged(ed.CountingQuotientFilter.of(np.array(p, np.uint64)) for p in parts)
+    found = dict(zip(whole.keys.tolist(), whole.counts.tolist(), strict=True)) if whole else {}
+    assert found == dict(Counter(x for p in parts for x in p))
+
+
+def test_row_ids_do_not_follow_the_cores(spark, tmp_path):
+    from tessera.llm.common import SPLITS, with_row_id
+
+    spark.range(100_000).selectExpr("id", "repeat(cast(id as string), 20) as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = with_row_id(spark.read.parquet(str(tmp_path / "t")))
+    assert int(spark.conf.get(SPLITS)) == spark.sparkContext.defaultParallelism
+    before = rows.rdd.getNumPartitions()
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    try:
+        assert spark.read.parquet(str(tmp_path / "t")).rdd.getNumPartitions() == before
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 ROWS = [(1, "A b", 0), (2, "a B", 0), (3, None, 0), (4, "", 0), (4, "", 0), (5, "É", 0), (6, "é", 0), (None, "a b", 0), (7, "x" * 300_000, 0), (8, "X" * 300_000, 0), (9, "one", 0), (None, "two", 0)]
 
 
