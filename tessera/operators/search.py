@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import values as V
+from tessera.session import checkpointed
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -24,6 +25,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def vector_scores(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(qid, id, similarity) with the best k of each Arrow batch; similarity is rounded to six places, NaN is left out."""
+    if not questions:
+        return vectors.sparkSession.createDataFrame([], "qid long, id long, similarity double")
     asked = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in questions], np.int64), np.array([v for _, v in questions], np.float64).reshape(len(questions), -1)))
     rows = vectors.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col)
 
@@ -36,10 +39,12 @@ def vector_scores(vectors: DataFrame, questions: list[tuple[int, list[float]]],
             ids, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
             with np.errstate(invalid="ignore", divide="ignore"):
                 similarity = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
+            best = []
             for j in range(len(qids)):
                 good = np.flatnonzero(~np.isnan(similarity[:, j]))
-                best = good[np.lexsort((ids[good], -similarity[good, j]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[j])), pa.array(ids[best]), pa.array(similarity[best, j])], names=["qid", "id", "similarity"])
+                best.append(good[np.lexsort((ids[good], -similarity[good, j]))[:k]])
+            row, question = np.concatenate(best), np.repeat(np.arange(len(qids)), [len(x) for x in best])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[question]), pa.array(ids[row]), pa.array(similarity[row, question])], names=["qid", "id", "similarity"])
 
     return rows.mapInArrow(out, "qid long, id long, similarity double")
 
@@ -50,13 +55,19 @@ def vector_topk(vectors: DataFrame, question: list[float], k: int, min_similarit
     return top if min_similarity is None else top.filter(F.col("similarity") >= min_similarity)
 
 
-def vector_topk_many(vectors: DataFrame, questions: DataFrame, k: int, at_once: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(qid, id, similarity, rank) for a stated set of questions (qid, vector), in blocks of ``at_once``."""
-    asked = [(r[0], r[1]) for r in questions.collect()]
-    blocks = [vector_scores(vectors, asked[i : i + at_once], k, id_col, vector_col) for i in range(0, len(asked), at_once)]
-    every = reduce(DataFrame.unionByName, blocks)
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
-    return every.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+def vector_topk_many(vectors: DataFrame, questions: DataFrame, k: int, at_once: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(qid, id, similarity, rank) for a stated set of questions (qid, vector), in blocks of about ``at_once``: the driver
+    holds one block at a time, and with several each one's result is checkpointed before the next begins."""
+    qid, vector = questions.columns[:2]
+    blocks = max(1, -(-questions.count() // at_once))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")).cast("long")
+    done = []
+    for i in range(blocks):
+        own = questions.filter(F.pmod(F.xxhash64(qid), F.lit(blocks)) == i) if blocks > 1 else questions
+        found = vector_scores(vectors, [(r[0], r[1]) for r in own.select(qid, vector).collect()], k, id_col, vector_col)
+        found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        done.append(checkpointed(found) if blocks > 1 else found)
+    return reduce(DataFrame.unionByName, done)
 
 
 def keyword_relevance(keywords: list[str], content: Column, class_name: Column, method_name: Column) -> Column:

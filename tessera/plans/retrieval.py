@@ -114,7 +114,10 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def rrf_boosted(spark, sf_dir):
-    fused = hybrid_rrf(spark, sf_dir).join(F.broadcast(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")), "id", "left")
+    fused = hybrid_rrf(spark, sf_dir)
+    # the few results are what is broadcast; documents are read past them
+    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang").join(F.broadcast(fused.select("id")), "id", "left_semi")
+    fused = fused.join(F.broadcast(named), "id", "left")
     return search.boost(fused, F.coalesce(F.col("lang") == "en", F.lit(False))).select("id", "score", "rank")
 
 

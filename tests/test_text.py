@@ -1,5 +1,6 @@
 """Text expressions against Python."""
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -50,3 +51,14 @@ def test_identifiers(spark):
     one = spark.createDataFrame([("List<String[]>", "findOrderById", "/**\n * Finds it.\n * @param id the id\n */")], "t string, n string, d string")
     r = one.select(text.base_type(F.col("t")).alias("t"), text.split_camel(F.col("n")).alias("n"), text.clean_javadoc(F.col("d")).alias("d")).first()
     assert (r.t, r.n, r.d) == ("List", "find order by id", "Finds it. the id")
+
+
+def test_blocks_of_questions(spark):
+    """Several blocks give what one gives; zero vectors are left out."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, [0.0] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    questions = vectors.filter("vec_id < 20")
+    one, many = (sorted(map(tuple, search.vector_topk_many(vectors, questions, 3, at_once=n).collect())) for n in (100, 4))
+    assert one == many and len(one) == 60 and all(r[1] == r[0] for r in one if r[3] == 1)
+    assert search.vector_topk_many(vectors, questions.limit(0), 3).count() == 0
