@@ -22,6 +22,8 @@ from tessera.llm.common import fold, steps, utf8
 from tessera.llm.tokens import Tokens, mix
 
 BITS = 18
+#: Text bytes whose n-grams are held at once; a longer single text is a step of its own.
+AT_ONCE = 500_000
 #: Labelled documents that the fit reads at most.
 MAX_LABELLED = 6000
 #: Folds by crc32 of the id; labels of HELD_OUT are never learned from.
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = utf8(b.column(1))
-            for i, j in steps(at):
+            for i, j in steps(at, AT_ONCE):
                 feature, first = features(raw[at[i] : at[j]], at[i : j + 1] - at[i])
                 packed = [feature[first[k] : first[k + 1]].tobytes() for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(packed, pa.binary())], names=["id", "y", "features"])
@@ -188,7 +190,7 @@ def _scorer(docs: DataFrame, model: Model):
     def scores(column: pa.Array) -> np.ndarray:
         raw, at = utf8(column)
         out = np.zeros(len(at) - 1)
-        for i, j in steps(at):
+        for i, j in steps(at, AT_ONCE):
             out[i:j] = shared.value.scores(raw[at[i] : at[j]], at[i : j + 1] - at[i])
         return out
 
