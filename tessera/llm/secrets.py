@@ -99,14 +99,22 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) in code points, in order, without overlaps: of overlapping ones the first and longest stays."""
-    found = [m.span() for m in _RUN.finditer(text) if any("0" <= c <= "9" for c in m[0])]
-    found += [m.span(1) for m in _ASSIGNED.finditer(text)]
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
-        if not out or s >= out[-1][1]:
-            out.append((s, e))
-    return out
+    """(start, end) in code points, in order, without overlaps. An assigned value stays whole; of a run that overlaps it or
+    its name, what lies before and after stays, where that is a candidate by itself."""
+    assigned = list(_ASSIGNED.finditer(text))
+    out, k = [m.span(1) for m in assigned], 0
+    for m in _RUN.finditer(text):
+        at, end = m.span()
+        while k < len(assigned) and assigned[k].end() <= at:
+            k += 1
+        parts, j = [], k
+        while j < len(assigned) and assigned[j].start() < end:
+            parts.append((at, assigned[j].start()))
+            at = max(at, assigned[j].end(1))
+            j += 1
+        parts.append((at, end))
+        out += [(s, e) for s, e in parts if e - s >= 16 and any("0" <= c <= "9" for c in text[s:e])]
+    return sorted(out)
 
 
 # --- labelled findings --------------------------------------------------------------------------------------------------

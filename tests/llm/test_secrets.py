@@ -26,6 +26,14 @@ def test_candidates_in_order_without_overlap():
     assert [text[s:e] for s, e in spans] == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "hunter22"]
 
 
+def test_unquoted_assignments_keep_the_value():
+    found = lambda text: [text[s:e] for s, e in secrets.candidates(text)]
+    assert found("password=Tr0ub4dor&3xyz\n") == ["Tr0ub4dor&3xyz"]
+    assert found("x API_KEY=0a1b2c3d4e5f60718293 y SECRET_TOKEN=abc/def+123456789==") == ["0a1b2c3d4e5f60718293", "abc/def+123456789=="]
+    assert found("0123456789abcdef0123/password=hunter22") == ["0123456789abcdef0123/", "hunter22"]
+    assert found("NAME=0123456789abcdef") == ["NAME=0123456789abcdef"]
+
+
 def test_covered_share():
     assert secrets.covered_share("default_value") > 0.8 and secrets.covered_share("x7Qp92mLkz") == 0
 
