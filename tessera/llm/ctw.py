@@ -5,163 +5,214 @@ code tree of a byte has a context tree of its own, whose nodes are the last 0 ..
 Krichevsky-Trofimov estimate; the weighted probability of a node is half its own estimate and half the product of its
 children's. Prediction mixes the estimates of all depths on the context's path with the weights that follow from that.
 
-Contexts seen in less than a share 2**-CONTEXT_BITS of all training bytes are not grown: together they are one more child
-("rest") of their parent. So a depth has at most 2**CONTEXT_BITS contexts whatever the size of the corpus, which bounds
-the tree that is broadcast; counting itself covers every training byte and is a map-side combined aggregation.
+Every context of the training texts is in the tree, however rare, and none of it is in one place. A gram is a context and
+the byte after it, as a number: the byte just before first, then the one before that, the coded byte last. So the grams
+below a context follow each other in order. All different grams, of held-out texts too, are one table with their training
+counts (a gram without any has a node that predicts one half, as it should):
 
-Beside it the unigram base score of the words. Words with at least a share 2**-HEAD_BITS of all tokens (so many at most)
-are looked up where the text is read; the others, none of which is frequent, meet their counts in a shuffled join.
-Words are keyed by their 64-bit hash; among ten million words two share one with a probability under 1e-5.
+* up, within slices of equal SLICE first bytes, in tasks; then level by level to the root by grouped sums,
+* down, from the root level by level by joins, then within the slices: the code length of each gram.
+
+A slice spans DEPTH - SLICE = 2 more bytes of context and the coded one: 2**24 grams at most, whatever the corpus.
+
+Texts meet their grams so: those with a share of 2**-HEAD_BITS of all bytes at least (so many at most) are looked up where
+the text is read; the others, none of which is frequent, meet theirs in a shuffled join. The same goes for the words of
+the unigram base score, with WORD_BITS. Which gram is frequent decides where it is looked up, never its value.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, fold, steps, texts, with_row_id
 
-DEPTH = 5
-CONTEXT_BITS = 16
+#: Bytes of context; a gram of 7 bytes is a positive long with room for a flag.
+DEPTH = 6
+#: Levels that are worked on inside of a slice, beside its own.
+SPAN = 2
 HEAD_BITS = 21
+WORD_BITS = 18
 FOLDS, HELD_OUT = 5, 1
 #: Closes a text and stands before it; no UTF-8 text has it.
 END = 0xFF
+#: Places of a stream that are worked on at once.
+AT_ONCE = 1_000_000
 #: Different words that a counting task gathers before it sends them on.
 GATHERED = 300_000
+#: Grams of whole slices that are worked on at once, about.
+BLOCK = 100_000
+LOG_2 = float(np.log(2))
 
 
 # --- Krichevsky-Trofimov estimates -------------------------------------------------------------------------------
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Of values from 0.5 on; the error is below 1e-9 of the value or of 1."""
-    small = x < 8
-    y = np.where(small, x + 8, x)
+def log_gamma(x):
+    """Of values from 0.5 on, as an array or as a column; the error is below 1e-9 of the value or of 1."""
+    log = F.log if isinstance(x, Column) else np.log
+    y = x + 8
     z = 1 / (y * y)
-    out = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y
-    fix = np.ones_like(y)
-    for k in range(8):
-        fix *= np.where(small, x + k, 1.0)
-    return out - np.log(fix)
-
-
-def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen at each of the 255 bit nodes (heap order from 1), of rows of 256 byte counts."""
-    total = np.zeros((len(counts), 512))
-    total[:, 256:] = counts
-    for m in range(255, 0, -1):
-        total[:, m] = total[:, 2 * m] + total[:, 2 * m + 1]
-    return total[:, 2:512:2], total[:, 3:512:2]
+    fix = x
+    for k in range(1, 8):
+        fix = fix * (x + k)
+    return (y - 0.5) * log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680))) / y - log(fix)
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+def log_kt(zeros, ones):
     """Log probability of any sequence with so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - float(np.log(np.pi))
+
+
+# --- a slice of the tree -------------------------------------------------------------------------------------------
+
+
+class Levels:
+    """Nodes of some whole slices, from the depth of the grams up to that of the slices.
+
+    A level has sorted keys (context << 8 | bit node), zeros, ones, log weighted probabilities, the weight of a node's own
+    estimate and, for the nodes of the level below, their place in it. gram: sorted; n: training counts."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray, span: int):
+        byte, context = gram & 255, gram >> 8
+        keys, zeros, ones, inverse, base = [], [], [], [], 0
+        for j in range(8):
+            key = context << 8 | (256 | byte) >> (8 - j)
+            first = np.r_[True, key[1:] != key[:-1]]
+            at, bit = np.flatnonzero(first), byte >> (7 - j) & 1
+            keys.append(key[at])
+            zeros.append(np.add.reduceat(n * (1 - bit), at))
+            ones.append(np.add.reduceat(n * bit, at))
+            inverse.append(base + np.cumsum(first) - 1)
+            base += len(at)
+        order = np.argsort(np.concatenate(keys), kind="stable")
+        rank = np.empty(base, np.int64)
+        rank[order] = np.arange(base)
+        self.byte, self.bits = byte, [rank[x] for x in inverse]
+        self.keys = [np.concatenate(keys)[order]]
+        self.zeros, self.ones = ([np.concatenate(x)[order].astype(np.float64)] for x in (zeros, ones))
+        self.weighted = [log_kt(self.zeros[0], self.ones[0])]
+        self.weight, self.parent = [np.ones(base)], []
+        for _ in range(span):
+            key = self.keys[-1] >> 16 << 8 | self.keys[-1] & 255
+            order = np.argsort(key, kind="stable")
+            first = np.r_[True, key[order][1:] != key[order][:-1]]
+            at = np.flatnonzero(first)
+            parent = np.empty(len(key), np.int64)
+            parent[order] = np.cumsum(first) - 1
+            self.parent.append(parent)
+            self.keys.append(key[order][at])
+            z, o, split = (np.add.reduceat(x[-1][order], at) for x in (self.zeros, self.ones, self.weighted))
+            own = log_kt(z, o)
+            self.zeros.append(z)
+            self.ones.append(o)
+            self.weighted.append(np.logaddexp(own, split) - LOG_2)
+            self.weight.append(np.exp(own - LOG_2 - self.weighted[-1]))
+
+    def log10_probabilities(self, known: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Of the last byte of each gram. For each node of the slices' level what the levels above it predict: the
+        probability of a one is ``known`` and ``left`` times the prediction from here on."""
+        for up in range(len(self.keys) - 1, -1, -1):
+            estimate = (self.ones[up] + 0.5) / (self.zeros[up] + self.ones[up] + 1)
+            known, left = known + left * self.weight[up] * estimate, left * (1 - self.weight[up])
+            if up:
+                known, left = known[self.parent[up - 1]], left[self.parent[up - 1]]
+        out = np.zeros(len(self.byte))
+        for j, node in enumerate(self.bits):
+            out += np.log10(np.where(self.byte >> (7 - j) & 1, known[node], 1 - known[node]))
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that are sorted by the first one, in blocks that hold all rows of each of its values."""
+    held: list[list[np.ndarray]] = []
+    limit = most
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    for b in batches:
+        if b.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if sum(len(x[0]) for x in held) > limit:
+            whole = joined()
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut:
+                yield [x[:cut] for x in whole]
+            held = [[x[cut:] for x in whole]]
+            limit = max(most, 2 * len(held[0][0]))
+    if held:
+        yield joined()
 
 
 # --- the tree ------------------------------------------------------------------------------------------------------
 
 
-@dataclass
-class Tree:
-    """child: next node for (inner node, byte before); nodes below len(child) are inner. cost: log10 probability of a byte
-    at (end node - len(child), byte)."""
-
-    child: np.ndarray
-    cost: np.ndarray
-    depth: int
-
-    def log10_probabilities(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the bytes of ``stream`` at these places; each has ``depth`` bytes before it."""
-        inner = len(self.child)
-        node = np.zeros(len(at), np.int32)
-        active = np.arange(len(at))
-        for d in range(1, self.depth + 1):
-            step = self.child[node[active], stream[at[active] - d]]
-            node[active] = step
-            active = active[step < inner]
-            if not len(active):
-                break
-        return self.cost[node - inner, stream[at]]
-
-
-def build_tree(contexts: dict[bytes, np.ndarray], depth: int, at_once: int = 1024) -> Tree:
-    """contexts: byte counts (256) of each kept context; its bytes read backwards from the one just before. The empty one
-    is among them, and with a context its parent is. Works through ``at_once`` nodes at a time."""
-    names = sorted(contexts, key=lambda c: (len(c), c))
-    place = {c: i for i, c in enumerate(names)}
-    level = np.array([len(c) for c in names])
-    parent = np.array([place[c[:-1]] if c else -1 for c in names])
-    is_inner = np.zeros(len(names), bool)
-    is_inner[parent[1:]] = True
-    is_inner[0] = True
-    inner = np.flatnonzero(is_inner)
-    row_of = np.full(len(names), -1)
-    row_of[inner] = np.arange(len(inner))
-    leaves = np.flatnonzero(~is_inner)
-    # end nodes: leaves, then the rest of each inner node
-    number = np.where(is_inner, row_of, 0)
-    number[leaves] = len(inner) + np.arange(len(leaves))
-    child = np.repeat((len(inner) + len(leaves) + np.arange(len(inner), dtype=np.int32))[:, None], 256, axis=1)
-    for i in range(1, len(names)):
-        child[row_of[parent[i]], names[i][-1]] = number[i]
-
-    # from the deepest contexts up: estimates of a one, and the weight of a node's own estimate
-    own = np.zeros((len(names), 255), np.float32)
-    rest = np.zeros((len(inner), 255), np.float32)
-    weight = np.zeros((len(inner), 255), np.float32)
-    sums = np.zeros((0, 255))  # of log weighted probabilities of the children, for each node of the level above
-    seen = np.zeros((0, 256))  # counts of the children
-    for d in range(int(level[-1]), -1, -1):
-        nodes = np.flatnonzero(level == d)
-        first_above = np.searchsorted(level, d - 1)
-        up, up_seen = (np.zeros((int((level == d - 1).sum()), n)) for n in (255, 256))
-        for part in np.array_split(nodes, max(1, len(nodes) // at_once)):
-            counts = np.stack([contexts[names[i]] for i in part])
-            zeros, ones = bit_counts(counts)
-            log_own = log_kt(zeros, ones)
-            own[part] = (ones + 0.5) / (zeros + ones + 1)
-            weighted = log_own.copy()
-            grown = np.flatnonzero(is_inner[part])
-            if len(grown):
-                row, here = row_of[part[grown]], part[grown] - nodes[0]
-                left = counts[grown] - (seen[here] if len(seen) else 0)
-                z, o = bit_counts(left)
-                rest[row] = (o + 0.5) / (z + o + 1)
-                split = (sums[here] if len(sums) else 0) + log_kt(z, o)
-                weighted[grown] = np.logaddexp(log_own[grown], split) - np.log(2)
-                weight[row] = np.exp(log_own[grown] - np.log(2) - weighted[grown])
-            if d:
-                np.add.at(up, parent[part] - first_above, weighted)
-                np.add.at(up_seen, parent[part] - first_above, counts)
-        sums, seen = up, up_seen
-
-    # probability of a one at each bit node for each end of a path, then of whole bytes
-    byte = np.arange(256)
-    cost = np.zeros((len(leaves) + len(inner), 256), np.float32)
-    for begin in range(0, len(cost), at_once):
-        part = np.arange(begin, min(begin + at_once, len(cost)))
-        of_rest = part >= len(leaves)
-        node = np.where(of_rest, inner[np.maximum(part - len(leaves), 0)], leaves[np.minimum(part, len(leaves) - 1)] if len(leaves) else 0)
-        p = np.where(of_rest[:, None], rest[np.where(of_rest, row_of[node], 0)], own[node]).astype(np.float64)
-        above = np.where(of_rest, node, parent[node])
-        while (more := np.flatnonzero(above >= 0)).size:
-            w = weight[row_of[above[more]]]
-            p[more] = w * own[above[more]] + (1 - w) * p[more]
-            above[more] = parent[above[more]]
-        log_one, log_zero = np.log10(p), np.log10(1 - p)
-        for k in range(8):
-            m = ((256 | byte) >> (8 - k)) - 1
-            cost[part] += np.where(byte >> (7 - k) & 1, log_one[:, m], log_zero[:, m])
-    return Tree(child, cost, depth)
+def slice_depth(depth: int) -> int:
+    return max(1, depth - SPAN)
+
+
+def sliced(grams: DataFrame, depth: int) -> DataFrame:
+    """Adds ``context``, the first bytes of a gram that name its slice."""
+    return grams.withColumn("context", F.shiftright("gram", 8 * (depth + 1 - slice_depth(depth))))
+
+
+def slice_nodes(grams: DataFrame, depth: int) -> DataFrame:
+    """context, m (bit node), zeros, ones, weighted (log probability) of the nodes at the depth of slices."""
+    span = depth - slice_depth(depth)
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, train in _blocks(batches):
+            levels = Levels(gram, train, span)
+            key = levels.keys[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key >> 8, key & 255, levels.zeros[-1], levels.ones[-1], levels.weighted[-1])], names=["context", "m", "zeros", "ones", "weighted"])
+
+    rows = sliced(grams, depth).select("context", "gram", "train").repartition("context").sortWithinPartitions("context", "gram")
+    return rows.mapInArrow(up, "context long, m long, zeros double, ones double, weighted double")
+
+
+def upper_levels(nodes: DataFrame, depth: int) -> DataFrame:
+    """context, m, known, left of the nodes at the depth of slices: what all levels above them predict."""
+    levels = []
+    for _ in range(slice_depth(depth)):
+        below = levels[-1] if levels else nodes
+        own, split = log_kt(F.col("zeros"), F.col("ones")), F.col("split")
+        level = below.groupBy(F.shiftright("context", 8).alias("context"), "m").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("split"))
+        level = level.withColumn("own", own).withColumn("weighted", F.greatest("own", split) + F.log1p(F.exp(-F.abs(F.col("own") - split))) - LOG_2)
+        levels.append(checkpoint(level.select("context", "m", "zeros", "ones", "weighted", F.exp(F.col("own") - LOG_2 - F.col("weighted")).alias("weight"))))
+    estimate = F.col("weight") * (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    above = None
+    for level in reversed(levels):
+        here = level if above is None else level.withColumn("parent", F.shiftright("context", 8)).join(above, ["parent", "m"])
+        known, left = (F.lit(0.0), F.lit(1.0)) if above is None else (F.col("known"), F.col("left"))
+        above = here.select(F.col("context").alias("parent"), "m", (known + left * estimate).alias("known"), (left * (1 - F.col("weight"))).alias("left"))
+    return nodes.select("context", "m", F.shiftright("context", 8).alias("parent")).join(above, ["parent", "m"]).select("context", "m", "known", "left")
+
+
+def gram_costs(grams: DataFrame, depth: int) -> DataFrame:
+    """gram, n, cost: log10 probability of the last byte of each gram after the bytes before it. grams: gram, n, train
+    (its count in training texts, which may be 0)."""
+    span = depth - slice_depth(depth)
+    nodes = checkpoint(slice_nodes(grams, depth))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, gram, m, n, train, known, left in _blocks(batches):
+            node = m > 0
+            own = ~node
+            # the nodes are those of the grams: in order of context and bit node, one for one
+            cost = Levels(gram[own], train[own], span).log10_probabilities(known[node], left[node])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[own], n[own], cost)], names=["gram", "n", "cost"])
+
+    none = F.lit(0).cast("long")
+    above = upper_levels(nodes, depth).select("context", none.alias("gram"), "m", none.alias("n"), none.alias("train"), "known", "left")
+    own = sliced(grams, depth).select("context", "gram", none.alias("m"), "n", "train", F.lit(0.0).alias("known"), F.lit(0.0).alias("left"))
+    both = own.unionByName(above).repartition("context").sortWithinPartitions("context", "gram", "m")
+    return both.mapInArrow(down, "gram long, n long, cost double")
 
 
 # --- reading texts ------------------------------------------------------------------------------------------------
@@ -171,19 +222,29 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()  # of bytes: A-Z, and the six ASCII white-space characters
 
 
-def stream_of(parts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with END bytes between them; the places of all coded bytes; where each text begins among those."""
-    gap = bytes([END]) * depth
-    stream = np.frombuffer(gap + gap.join(parts) + gap, np.uint8)
-    size = np.array([len(p) for p in parts], np.int64)
-    begin = depth + np.r_[0, np.cumsum(size + depth)[:-1]]
-    first = np.r_[0, np.cumsum(size + 1)]
-    at = np.arange(first[-1]) + np.repeat(begin - first[:-1], size + 1)
-    return stream, at, first
+class Stream:
+    """Texts with END bytes between them. ``first``: where the coded bytes of each text begin among all of them."""
 
+    def __init__(self, parts: list[bytes], depth: int):
+        gap = bytes([END]) * depth
+        self.depth = depth
+        self.raw = np.frombuffer(gap + gap.join(parts) + bytes([END]) * (depth + 1), np.uint8)
+        size = np.array([len(p) for p in parts], np.int64)
+        self.first = np.r_[0, np.cumsum(size + 1)]
+        self.shift = depth + np.arange(len(parts)) * (depth - 1)  # place in raw, less the place among coded bytes
 
-def _rows(codes: list[np.ndarray], counts: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts))], names=names)
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, gram) of all coded bytes, AT_ONCE of them at a time."""
+        for i in range(0, int(self.first[-1]), AT_ONCE):
+            place = np.arange(i, min(i + AT_ONCE, int(self.first[-1])))
+            text = np.searchsorted(self.first, place, side="right") - 1
+            at = place + self.shift[text]
+            window = self.raw[int(at[0]) - self.depth : int(at[-1]) + 1].astype(np.int64)
+            at -= int(at[0]) - self.depth
+            gram = window[at - 1]
+            for back in range(2, self.depth + 1):
+                gram = gram << 8 | window[at - back]
+            yield text, gram << 8 | window[at]
 
 
 def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,102 +262,76 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(code[first], np.add.reduceat(n, first))]
 
 
-def _counting(codes_of, most: int = 1_500_000):
-    """Batches of texts to rows (code, n), where codes_of gives the codes of the bytes of some texts."""
+def gram_counts(plain: DataFrame, depth: int, most: int = 3_000_000) -> DataFrame:
+    """gram, n, train of each different gram of all texts. plain: text, learn (whether it is a training text)."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["code", "n"])
+
         for b in batches:
             parts = [b" ".join(words_of(t)) for t in texts(b.column(0))]
-            edges = np.cumsum([0, *map(len, parts)])
-            for i, j in steps(edges):
-                held.append(counted(codes_of(*stream_of(parts[i:j], DEPTH)[:2])))
-                if sum(len(c) for c, _ in held) > most:
-                    held = _added(held)
-                    if len(held[0][0]) > most // 2:
-                        yield _rows([held[0][0].astype(np.int64)], [held[0][1].astype(np.int64)], ["code", "n"])
-                        held = []
-        if held and sum(len(c) for c, _ in held):
+            learn = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in steps(np.cumsum([0, *map(len, parts)])):
+                for text, gram in Stream(parts[i:j], depth).grams():
+                    held.append(counted(gram << 1 | learn[i + text]))
+                    if sum(len(c) for c, _ in held) > most:
+                        held = _added(held)
+                        if len(held[0][0]) > most // 2:
+                            yield rows()
+                            held = []
+        if held:
             held = _added(held)
-            yield _rows([held[0][0].astype(np.int64)], [held[0][1].astype(np.int64)], ["code", "n"])
-
-    return out
-
-
-def _kept_contexts(counts: DataFrame, context, least: float) -> pa.Table:
-    """context, bytes and counts of each context that is seen often enough; at most 2**CONTEXT_BITS rows."""
-    by_context = counts.groupBy(context.alias("context"), (F.col("code") % 256).alias("byte")).agg(F.sum("n").alias("n"))
-    kept = by_context.groupBy("context").agg(F.sum("n").alias("total"), F.collect_list("byte").alias("bytes"), F.collect_list("n").alias("ns"))
-    return kept.filter(F.col("total") >= least).select("context", "bytes", "ns").toArrow()
-
-
-def _take(into: dict[bytes, np.ndarray], table: pa.Table, name_of) -> None:
-    for context, codes, ns in zip(*(table.column(i).to_pylist() for i in range(3)), strict=True):
-        row = np.zeros(256)
-        row[codes] = ns
-        into[name_of(context)] = row
-
-
-def fit_tree(train: DataFrame, text_col: str, context_bits: int = CONTEXT_BITS) -> Tree:
-    """Two passes over the training texts: contexts of up to 3 bytes, then of 4 and 5 under those of 3 that are kept."""
-    texts_only = train.select(F.col(text_col).cast("string").alias("text"))
-
-    def grams(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        s = stream.astype(np.uint32)
-        return s[at - 3] << 24 | s[at - 2] << 16 | s[at - 1] << 8 | s[at]
-
-    short = checkpoint(texts_only.mapInArrow(_counting(grams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    total = short.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, total / 2**context_bits)
-    contexts: dict[bytes, np.ndarray] = {b"": np.zeros(256)}
-    for d in range(4):
-        # the code is (3 back, 2 back, 1 back, byte); a context's name reads backwards
-        number = F.floor(F.col("code") / 256) % (256**d)
-        found = _kept_contexts(short, number.cast("long"), least if d else 0)
-        _take(contexts, found, lambda c, d=d: int(c).to_bytes(d, "little"))
-    # a context of the table may be kept only if its parent is, which has no smaller count
-    frontier = sorted(c for c in contexts if len(c) == 3)
-    if frontier and DEPTH > 3:
-        code = np.array([c[0] | c[1] << 8 | c[2] << 16 for c in frontier], np.int64)
-        order = np.argsort(code)
-        place = np.full(1 << 24, -1, np.int16 if len(frontier) < 1 << 15 else np.int32)
-        place[code[order]] = np.arange(len(frontier))
-        shared = train.sparkSession.sparkContext.broadcast(place)
-        named = [frontier[i] for i in order]
-
-        def long_grams(stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-            s = stream.astype(np.int32)
-            node = shared.value[s[at - 1] | s[at - 2] << 8 | s[at - 3] << 16]
-            known = np.flatnonzero(node >= 0)
-            at, node = at[known], node[known].astype(np.int64)
-            return node << 24 | s[at - 4].astype(np.int64) << 16 | s[at - 5].astype(np.int64) << 8 | s[at]
-
-        long = checkpoint(texts_only.mapInArrow(_counting(long_grams), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-        four = _kept_contexts(long, F.shiftright("code", 16), least)
-        _take(contexts, four, lambda c: named[c >> 8] + bytes([c & 255]))
-        five = _kept_contexts(long, F.shiftright("code", 8), least)
-        _take(contexts, five, lambda c: named[c >> 16] + bytes([c >> 8 & 255, c & 255]))
-    return build_tree(contexts, DEPTH)
+            yield rows()
 
+    coded = plain.select(F.col("text"), F.col("learn")).mapInArrow(out, "code long, n long")
+    return coded.groupBy(F.shiftright("code", 1).alias("gram")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("code") % 2)).alias("train"))
 
-# --- unigram base ---------------------------------------------------------------------------------------------------
 
+class Lookup:
+    """Values of long keys, by buckets of hashes."""
 
-def word_key(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(1, int(len(keys)).bit_length())
+        bucket = self._bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+        self.start = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-#: Key of the end token; no word is empty.
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, 0 for other keys, and places of those others."""
+        out = np.zeros(len(keys))
+        bucket = self._bucket(keys)
+        at, end = self.start[bucket], self.start[bucket + 1]
+        left, absent = np.arange(len(keys)), []
+        while len(left):
+            some = at < end
+            absent.append(left[~some])
+            left, at, end = left[some], at[some], end[some]
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at, end = left[~hit], at[~hit] + 1, end[~hit]
+        return out, np.concatenate([*absent, np.zeros(0, np.int64)])
+
+
+# --- unigram base ---------------------------------------------------------------------------------------------------
+
+
+#: The end token; no word is empty.
 END_WORD = b""
 
 
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """key, c of each different training token, the end token included."""
+    """word, c of each different training token, the end token included."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            keys = np.fromiter(map(word_key, count), np.uint64, len(count)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(count.values(), np.int64, len(count)))], names=["key", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(np.fromiter(count.values(), np.int64, len(count)))], names=["word", "c"])
 
         count: Counter = Counter()
         for b in batches:
@@ -309,86 +344,101 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
         if count:
             yield rows()
 
-    partial = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(out, "key long, c long")
-    return partial.groupBy("key").agg(F.sum("c").alias("c"))
+    partial = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(out, "word binary, c long")
+    return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context_bits: int = CONTEXT_BITS, head_bits: int = HEAD_BITS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, head_bits: int = HEAD_BITS, word_bits: int = WORD_BITS) -> DataFrame:
     """One row for each input row: rid, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learns from rows outside the held-out fold. Null is the empty text, which has its end alone; a null id is in the fold
     of the empty string. Without training rows all bytes are equally likely. Further columns are not looked at."""
+    if not 1 <= depth <= DEPTH:
+        raise ValueError(f"depth must be between 1 and {DEPTH}")
     sc = docs.sparkSession.sparkContext
     held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    train = plain.filter(~held_out)
-    counts = checkpoint(word_counts(train, "text"))
+    counts = checkpoint(word_counts(plain.filter(~held_out), "text"))
     tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bottom = tokens + 0.5 * (different + 1)
-    least = tokens / 2**head_bits  # at most 2**head_bits words have as many
-    head = counts.filter(F.col("c") >= least).toArrow()
-    key = head.column("key").to_numpy()
-    order = np.argsort(key)
-    shared = sc.broadcast((key[order], head.column("c").to_numpy()[order], fit_tree(train, "text", context_bits)))
+    head_words = counts.filter(F.col("c") >= tokens / 2**word_bits).toArrow()  # at most 2**word_bits words have as many
+    words = sc.broadcast(dict(zip(head_words.column("word").to_pylist(), head_words.column("c").to_pylist(), strict=True)))
+    costs = checkpoint(gram_costs(checkpoint(gram_counts(plain.select("text", (~held_out).alias("learn")), depth)), depth))
+    total = costs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    head = costs.filter(F.col("n") >= total / 2**head_bits).select("gram", "cost").toArrow()  # at most 2**head_bits grams
+    grams = sc.broadcast(Lookup(head.column("gram").to_numpy(), head.column("cost").to_numpy()))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, head_counts, tree = shared.value
-        logs = np.log10((head_counts + 0.5) / bottom)
-        unknown = np.log10(0.5 / bottom)
+        head_counts, lookup = words.value, grams.value
+        unknown = float(np.log10(0.5 / bottom))
         for b in batches:
-            n_tokens, n_known, base, size, tail_key, tail_n = [], [], [], [], [], []
-            score_of = []
-            parts, held = [], 0
+            n_tokens, n_known, base, tail_words = [], [], [], []
+            parts = []
             for t in texts(b.column(2)):
-                words = words_of(t)
-                count = Counter(words)
+                own = words_of(t)
+                count = Counter(own)
                 count[END_WORD] += 1
-                k = np.fromiter(map(word_key, count), np.uint64, len(count)).view(np.int64)
-                n = np.fromiter(count.values(), np.int64, len(count))
-                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                found = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-                n_tokens.append(len(words) + 1)
-                n_known.append(int(n[found].sum()))
-                base.append(float((n[found] * logs[at[found]]).sum() + n[~found].sum() * unknown))
-                tail_key.append(k[~found])
-                tail_n.append(n[~found])
-                parts.append(b" ".join(words))
-                size.append(len(parts[-1]) + 1)
-                held += size[-1]
-                if held > 2_000_000:
-                    score_of.append(_scores(tree, parts))
-                    parts, held = [], 0
-            if parts:
-                score_of.append(_scores(tree, parts))
-            ends = np.r_[0, np.cumsum([len(x) for x in tail_key])].astype(np.int32)
-            arrays = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*x, np.zeros(0, np.int64)]))) for x in (tail_key, tail_n)]
+                known, logs, tail = 0, 0.0, []
+                for w, n in count.items():
+                    c = head_counts.get(w)
+                    if c is None:
+                        tail.append((w, n))
+                        logs += n * unknown
+                    else:
+                        known += n
+                        logs += n * float(np.log10((c + 0.5) / bottom))
+                n_tokens.append(len(own) + 1)
+                n_known.append(known)
+                base.append(logs)
+                tail_words.append(tail)
+                parts.append(b" ".join(own))
+            sums = np.zeros(len(parts))
+            tail_text, tail_gram, tail_n = [], [], []
+            for i, j in steps(np.cumsum([0, *map(len, parts)])):
+                for text, gram in Stream(parts[i:j], depth).grams():
+                    value, absent = lookup.get(gram)
+                    sums[i:j] += np.bincount(text, value, j - i)
+                    order = np.lexsort((gram[absent], text[absent]))
+                    t, g = text[absent][order], gram[absent][order]
+                    first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])]) if len(g) else np.zeros(0, np.int64)
+                    tail_text.append(i + t[first])
+                    tail_gram.append(g[first])
+                    tail_n.append(np.diff(np.r_[first, len(g)]))
+            each = np.concatenate([*tail_text, np.zeros(0, np.int64)])  # in order of texts
+            ends = pa.array(np.searchsorted(each, np.arange(len(parts) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]))) for x in (tail_gram, tail_n)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, n_known, size)), pa.array(base, pa.float64()), pa.array(np.concatenate([*score_of, np.zeros(0)])), *arrays],
-                names=["rid", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score", "keys", "ns"],
-            )
+                [
+                    b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, n_known, [len(p) + 1 for p in parts])), pa.array(base, pa.float64()), pa.array(sums),
+                    pa.array([[w for w, _ in x] for x in tail_words], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in tail_words], pa.list_(pa.int64())), *lists,
+                ],
+                names=["rid", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score", "words", "word_ns", "grams", "gram_ns"],
+            )
 
     rows = with_row_id(plain).select("rid", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = checkpoint(rows.mapInArrow(out, f"rid long, doc_id {kind}, n_tokens long, n_known long, n_bytes long, base double, score double, keys array<long>, ns array<long>"))
-    tail = scored.select("rid", F.explode(F.arrays_zip("keys", "ns")).alias("x")).select("rid", F.col("x.keys").alias("key"), F.col("x.ns").alias("n"))
-    met = tail.join(counts.filter(F.col("c") < least), "key")
-    more = met.groupBy("rid").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("more"))
-    return scored.drop("keys", "ns").join(more, "rid", "left").select(
+    scored = checkpoint(rows.mapInArrow(out, f"rid long, doc_id {kind}, n_tokens long, n_known long, n_bytes long, base double, score double, words array<binary>, word_ns array<long>, grams array<long>, gram_ns array<long>"))
+
+    def tail(keys: str, ns: str) -> DataFrame:
+        return scored.select("rid", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(ns).alias("n"))).alias("x")).select("rid", "x.k", "x.n")
+
+    met_words = tail("words", "word_ns").join(counts.select(F.col("word").alias("k"), "c"), "k")
+    met_words = met_words.groupBy("rid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("base"), F.lit(0.0).alias("score"))
+    met_grams = tail("grams", "gram_ns").join(costs.filter(F.col("n") < total / 2**head_bits).select(F.col("gram").alias("k"), "cost"), "k")
+    met_grams = met_grams.groupBy("rid").agg(F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.sum(F.col("n") * F.col("cost")).alias("score"))
+    more = met_words.unionByName(met_grams).groupBy("rid").agg(*(F.sum(c).alias(f"more_{c}") for c in ("known", "base", "score")))
+    value = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return scored.select("rid", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score").join(more, "rid", "left").select(
         "rid",
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-        (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        value.alias("score"),
+        (-value * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-
-
-def _scores(tree: Tree, parts: list[bytes]) -> np.ndarray:
-    stream, at, first = stream_of(parts, tree.depth)
-    return np.add.reduceat(tree.log10_probabilities(stream, at).astype(np.float64), first[:-1])
