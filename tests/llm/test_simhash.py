@@ -35,19 +35,40 @@ def brute_components(rows):
     return [comp[i] for i in range(len(rows))]
 
 
-def test_golay_code_is_perfect():
-    v = np.arange(1 << 23)
-    word = simhash.home(v)
-    assert (np.bincount(word) == 2048).all()
+def code_words():
+    """All words of the code, from its generator."""
+    words = {0}
+    for i in range(12):
+        words |= {w ^ simhash.GOLAY << i for w in words}
+    return np.array(sorted(words))
 
 
-def test_pairs_within_two_bits_meet():
+def test_code_covers_with_radius_three():
+    rng = np.random.default_rng(0)
+    for v in rng.integers(0, 1 << 23, 300):
+        assert (np.bitwise_count(code_words() ^ v) <= simhash.RADIUS).sum() == 1
+
+
+def test_anchors_are_all_within_radius_plus_threshold():
+    rng = np.random.default_rng(1)
+    fps = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    keys, filled = simhash.anchors(fps, 2)
+    words = code_words()
+    for f, key, ok in zip(fps, keys, filled, strict=True):
+        beyond = [np.maximum(0, np.bitwise_count(words ^ (int(f) >> first & ((1 << width) - 1))).astype(int) - 3) for first, width in simhash.BLOCKS]
+        near = [[(int(w) >> 11, int(e)) for w, e in zip(words, x, strict=True) if e <= 2] for x in beyond]
+        expected = {a << 24 | b << 12 | c for a, i in near[0] for b, j in near[1] for c, k in near[2] if i + j + k <= 2}
+        assert sorted(key[ok].tolist()) == sorted(expected)
+        assert ok[0] and all(min(x[words >> 11 == key[0] >> n & 4095]) == 0 for x, n in zip(beyond, (24, 12, 0), strict=True))
+
+
+def test_pairs_within_two_bits_meet_at_both_homes():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     for _ in range(3):
         y = x ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
-        for a, b in zip(simhash.anchors(x, 1), simhash.anchors(y, 1), strict=True):
-            assert set(a.tolist()) & set(b.tolist())
+        (kx, _), (ky, filled) = simhash.anchors(x, 2), simhash.anchors(y, 2)
+        assert ((kx[:, :1] == ky) & filled).any(axis=1).all()
 
 
 def brute_classes(fps):
