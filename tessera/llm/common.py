@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +39,31 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder of ``spark.checkpoint.dir``, so that a lost executor costs nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which executors share. Where it is unset, a folder of this machine, for local
+    sessions only: on a cluster other machines could not read it, so there it is an error."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ckpt-"))
+    return named or sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with files in the shared folder, so that a lost executor costs nothing. For narrow tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a compressed table in the shared folder. For large tables; they stay until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a checkpointed table has at most so many rows."""
     return df.limit(rows + 1).count() <= rows

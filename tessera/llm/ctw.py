@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fold, steps, texts, with_row_id
+from tessera.llm.common import checkpoint, fold, steps, texts, with_row_id, written
 
 #: Bytes of context; a gram of 7 bytes is a positive long with room for a flag.
 DEPTH = 6
@@ -198,7 +198,7 @@ def gram_costs(grams: DataFrame, depth: int) -> DataFrame:
     """gram, n, cost: log10 probability of the last byte of each gram after the bytes before it. grams: gram, n, train
     (its count in training texts, which may be 0)."""
     span = depth - slice_depth(depth)
-    nodes = checkpoint(slice_nodes(grams, depth))
+    nodes = written(slice_nodes(grams, depth))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, gram, m, n, train, known, left in _blocks(batches):
@@ -223,28 +223,27 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Stream:
-    """Texts with END bytes between them. ``first``: where the coded bytes of each text begin among all of them."""
+    """Texts with END bytes between them, and one after the last. ``begin``: where each text begins."""
 
     def __init__(self, parts: list[bytes], depth: int):
         gap = bytes([END]) * depth
         self.depth = depth
-        self.raw = np.frombuffer(gap + gap.join(parts) + bytes([END]) * (depth + 1), np.uint8)
-        size = np.array([len(p) for p in parts], np.int64)
-        self.first = np.r_[0, np.cumsum(size + 1)]
-        self.shift = depth + np.arange(len(parts)) * (depth - 1)  # place in raw, less the place among coded bytes
-
-    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(text, gram) of all coded bytes, AT_ONCE of them at a time."""
-        for i in range(0, int(self.first[-1]), AT_ONCE):
-            place = np.arange(i, min(i + AT_ONCE, int(self.first[-1])))
-            text = np.searchsorted(self.first, place, side="right") - 1
-            at = place + self.shift[text]
-            window = self.raw[int(at[0]) - self.depth : int(at[-1]) + 1].astype(np.int64)
-            at -= int(at[0]) - self.depth
-            gram = window[at - 1]
-            for back in range(2, self.depth + 1):
-                gram = gram << 8 | window[at - back]
-            yield text, gram << 8 | window[at]
+        self.raw = np.frombuffer(gap + gap.join(parts) + bytes([END]), np.uint8)
+        end = np.cumsum(np.array([len(p) + depth for p in parts], np.int64))  # of the texts: the END byte that is coded
+        self.begin = np.r_[depth, end[:-1] + depth]
+        self.pads = (end[:-1, None] + np.arange(1, depth)).ravel()  # END bytes that only stand before a text
+
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first place, gram of each place, places among those that are pads), AT_ONCE of them at a time."""
+        for low in range(self.depth, len(self.raw), AT_ONCE):
+            high = min(low + AT_ONCE, len(self.raw))
+            window = self.raw[low - self.depth : high].astype(np.int64)
+            gram = np.zeros(high - low, np.int64)
+            for first in (*range(self.depth - 1, -1, -1), self.depth):
+                np.left_shift(gram, 8, out=gram)
+                np.bitwise_or(gram, window[first : first + high - low], out=gram)
+            i, j = np.searchsorted(self.pads, (low, high))
+            yield low, gram, self.pads[i:j] - low
 
 
 def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +261,7 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(code[first], np.add.reduceat(n, first))]
 
 
-def gram_counts(plain: DataFrame, depth: int, most: int = 3_000_000) -> DataFrame:
+def gram_counts(plain: DataFrame, depth: int, most: int = 4_000_000) -> DataFrame:
     """gram, n, train of each different gram of all texts. plain: text, learn (whether it is a training text)."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,14 +273,16 @@ def gram_counts(plain: DataFrame, depth: int, most: int = 3_000_000) -> DataFram
         for b in batches:
             parts = [b" ".join(words_of(t)) for t in texts(b.column(0))]
             learn = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in steps(np.cumsum([0, *map(len, parts)])):
-                for text, gram in Stream(parts[i:j], depth).grams():
-                    held.append(counted(gram << 1 | learn[i + text]))
-                    if sum(len(c) for c, _ in held) > most:
-                        held = _added(held)
-                        if len(held[0][0]) > most // 2:
-                            yield rows()
-                            held = []
+            for flag in (0, 1):
+                own = [p for p, x in zip(parts, learn, strict=True) if x == flag]
+                for i, j in steps(np.cumsum([0, *map(len, own)])):
+                    for _, gram, pads in Stream(own[i:j], depth).grams():
+                        held.append(counted(np.delete(gram, pads) << 1 | flag))
+                        if sum(len(c) for c, _ in held) > most:
+                            held = _added(held)
+                            if len(held[0][0]) > most // 2:
+                                yield rows()
+                                held = []
         if held:
             held = _added(held)
             yield rows()
@@ -291,24 +292,26 @@ def gram_counts(plain: DataFrame, depth: int, most: int = 3_000_000) -> DataFram
 
 
 class Lookup:
-    """Values of long keys, by buckets of hashes."""
+    """Values of keys from 0 on, by buckets of hashes."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.bits = len(keys).bit_length() + 1
         bucket = self._bucket(keys)
         order = np.argsort(bucket, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = np.r_[keys[order], -1], np.r_[values[order], 0.0]
         self.start = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def _bucket(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values, 0 for other keys, and places of those others."""
-        out = np.zeros(len(keys))
+        """Values, 0 for other keys, and the places of those others in order."""
         bucket = self._bucket(keys)
         at, end = self.start[bucket], self.start[bucket + 1]
-        left, absent = np.arange(len(keys)), []
+        out = self.values[at]
+        left = np.flatnonzero(self.keys[at] != keys)  # the first one of a bucket decides for most
+        out[left] = 0.0
+        at, end, absent = at[left] + 1, end[left], []
         while len(left):
             some = at < end
             absent.append(left[~some])
@@ -316,7 +319,7 @@ class Lookup:
             hit = self.keys[at] == keys[left]
             out[left[hit]] = self.values[at[hit]]
             left, at, end = left[~hit], at[~hit] + 1, end[~hit]
-        return out, np.concatenate([*absent, np.zeros(0, np.int64)])
+        return out, np.sort(np.concatenate([*absent, np.zeros(0, np.int64)]))
 
 
 # --- unigram base ---------------------------------------------------------------------------------------------------
@@ -361,18 +364,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     sc = docs.sparkSession.sparkContext
     held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = checkpoint(word_counts(plain.filter(~held_out), "text"))
+    counts = written(word_counts(plain.filter(~held_out), "text"))
     tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bottom = tokens + 0.5 * (different + 1)
     head_words = counts.filter(F.col("c") >= tokens / 2**word_bits).toArrow()  # at most 2**word_bits words have as many
-    words = sc.broadcast(dict(zip(head_words.column("word").to_pylist(), head_words.column("c").to_pylist(), strict=True)))
-    costs = checkpoint(gram_costs(checkpoint(gram_counts(plain.select("text", (~held_out).alias("learn")), depth)), depth))
+    logs = np.log10((head_words.column("c").to_numpy() + 0.5) / bottom).tolist()
+    words = sc.broadcast(dict(zip(head_words.column("word").to_pylist(), logs, strict=True)))
+    costs = written(gram_costs(written(gram_counts(plain.select("text", (~held_out).alias("learn")), depth)), depth))
     total = costs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     head = costs.filter(F.col("n") >= total / 2**head_bits).select("gram", "cost").toArrow()  # at most 2**head_bits grams
     grams = sc.broadcast(Lookup(head.column("gram").to_numpy(), head.column("cost").to_numpy()))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_counts, lookup = words.value, grams.value
+        head_logs, lookup = words.value, grams.value
         unknown = float(np.log10(0.5 / bottom))
         for b in batches:
             n_tokens, n_known, base, tail_words = [], [], [], []
@@ -381,28 +385,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 own = words_of(t)
                 count = Counter(own)
                 count[END_WORD] += 1
-                known, logs, tail = 0, 0.0, []
-                for w, n in count.items():
-                    c = head_counts.get(w)
-                    if c is None:
-                        tail.append((w, n))
-                        logs += n * unknown
-                    else:
-                        known += n
-                        logs += n * float(np.log10((c + 0.5) / bottom))
+                tail = [(w, n) for w, n in count.items() if w not in head_logs]
+                unseen = sum(n for _, n in tail)
                 n_tokens.append(len(own) + 1)
-                n_known.append(known)
-                base.append(logs)
+                n_known.append(len(own) + 1 - unseen)
+                base.append(sum(n * head_logs.get(w, unknown) for w, n in count.items()))
                 tail_words.append(tail)
                 parts.append(b" ".join(own))
             sums = np.zeros(len(parts))
             tail_text, tail_gram, tail_n = [], [], []
             for i, j in steps(np.cumsum([0, *map(len, parts)])):
-                for text, gram in Stream(parts[i:j], depth).grams():
+                stream = Stream(parts[i:j], depth)
+                for low, gram, pads in stream.grams():
                     value, absent = lookup.get(gram)
-                    sums[i:j] += np.bincount(text, value, j - i)
-                    order = np.lexsort((gram[absent], text[absent]))
-                    t, g = text[absent][order], gram[absent][order]
+                    value[pads] = 0.0
+                    some, end = np.searchsorted(stream.begin, (low, low + len(gram) - 1), side="right")
+                    some, end = max(some - 1, 0), max(end, 1)
+                    sums[i + some : i + end] += np.add.reduceat(value, np.maximum(stream.begin[some:end] - low, 0))
+                    absent = np.setdiff1d(absent, pads, assume_unique=True)
+                    t, g = np.searchsorted(stream.begin, low + absent, side="right") - 1, gram[absent]
+                    order = np.lexsort((g, t))
+                    t, g = t[order], g[order]
                     first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (t[1:] != t[:-1])]) if len(g) else np.zeros(0, np.int64)
                     tail_text.append(i + t[first])
                     tail_gram.append(g[first])
@@ -420,7 +423,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     rows = with_row_id(plain).select("rid", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = checkpoint(rows.mapInArrow(out, f"rid long, doc_id {kind}, n_tokens long, n_known long, n_bytes long, base double, score double, words array<binary>, word_ns array<long>, grams array<long>, gram_ns array<long>"))
+    scored = written(rows.mapInArrow(out, f"rid long, doc_id {kind}, n_tokens long, n_known long, n_bytes long, base double, score double, words array<binary>, word_ns array<long>, grams array<long>, gram_ns array<long>"))
 
     def tail(keys: str, ns: str) -> DataFrame:
         return scored.select("rid", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(ns).alias("n"))).alias("x")).select("rid", "x.k", "x.n")
