@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +20,11 @@ def truncated(lines: Column, most: int = V.MAX_CHUNK_LINES) -> Column:
 
 
 def line_chunks(docs: DataFrame, path: Column, text: Column, size: int = V.MAX_CHUNK_LINES, least: int = V.MIN_CHUNK_LINES) -> DataFrame:
-    """Fixed windows of lines: (id, path, start_line, end_line, content); windows below ``least`` lines are left out."""
+    """Fixed windows of lines: (id, path, start_line, end_line, content); windows below ``least`` lines are left out. Each
+    window has its own lines alone, so a text is copied once."""
     cut = docs.select(path.alias("path"), splitlines(F.coalesce(text, F.lit(""))).alias("lines")).filter("size(lines) > 0")
-    starts = cut.select("path", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"), F.lit(size))).alias("start_line"))
-    part = F.slice("lines", F.col("start_line"), size)
-    out = starts.select("path", F.col("start_line").cast("long").alias("start_line"), part.alias("part")).filter(F.size("part") >= least)
+    windows = F.transform(F.sequence(F.lit(1), F.size("lines"), F.lit(size)), lambda at: F.struct(at.cast("long").alias("start_line"), F.slice("lines", at, size).alias("part")))
+    out = cut.select("path", F.explode_outer(windows).alias("x")).select("path", "x.start_line", "x.part").filter(F.size("part") >= least)
     return out.select(
         chunk_id(F.col("path"), F.concat(F.lit("lines"), F.col("start_line").cast("string")), F.lit("document")).alias("id"),
         "path",
@@ -33,18 +36,20 @@ def line_chunks(docs: DataFrame, path: Column, text: Column, size: int = V.MAX_C
 
 def sections(docs: DataFrame, key: Column, text: Column, is_header) -> DataFrame:
     """Sections of a text: (key, section, title, start_line, content). A line for which ``is_header`` holds opens one; what
-    stands before the first header is section 0. Works on the lines of a row: nothing is shuffled."""
-    cut = docs.select(key.alias("key"), splitlines(F.coalesce(text, F.lit(""))).alias("lines"))
-    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: is_header(F.get("lines", i - 1)))
-    cut = cut.filter("size(lines) > 0").withColumn("heads", at)
-    bounds = F.when(F.get("heads", F.lit(0)) == 1, F.col("heads")).otherwise(F.concat(F.array(F.lit(1)), F.col("heads")))
-    cut = cut.withColumn("bounds", bounds)
-    one = cut.select("key", "lines", "heads", "bounds", F.posexplode("bounds").alias("n", "start"))
-    end = F.coalesce(F.get("bounds", F.col("n") + 1) - 1, F.size("lines"))
-    has_title = F.array_contains("heads", F.col("start"))
-    title = F.when(has_title, F.trim(F.regexp_replace(F.get("lines", F.col("start") - 1), "^#+", ""))).otherwise("")
-    section = F.col("n") + F.when(F.get("heads", F.lit(0)) == 1, 1).otherwise(0)
-    return one.select("key", section.cast("long").alias("section"), title.alias("title"), F.col("start").cast("long").alias("start_line"), F.array_join(F.slice("lines", F.col("start"), end - F.col("start") + 1), "\n").alias("content"))
+    stands before the first header is section 0. Works on the lines of a row: nothing is shuffled.
+
+    Each section gets its own lines before the rows are made, by an outer explode: from an inner one Spark derives a filter
+    on the array's size, and with it the split would be done again for each line."""
+    cut = docs.select(key.alias("key"), splitlines(F.coalesce(text, F.lit(""))).alias("lines")).filter("size(lines) > 0")
+    heads = F.filter(F.transform("lines", lambda x, i: F.when(is_header(x), i + 1)), lambda i: i.isNotNull())
+    cut = cut.select("key", "lines", heads.alias("heads"), F.size("lines").alias("n_lines"))
+    first = F.get("heads", F.lit(0)) == 1
+    bounds = F.when(first, F.col("heads")).otherwise(F.concat(F.array(F.lit(1)), F.col("heads")))
+    cut = cut.select("key", "lines", F.when(first, 1).otherwise(0).alias("offset"), bounds.alias("bounds"), F.concat(F.slice(bounds, 2, F.col("n_lines")), F.array(F.col("n_lines") + 1)).alias("ends"))
+    spans = F.transform(F.arrays_zip("bounds", "ends"), lambda x, n: F.struct(n.alias("n"), x["bounds"].alias("start"), F.slice("lines", x["bounds"], x["ends"] - x["bounds"]).alias("part")))
+    one = cut.select("key", "offset", F.explode_outer(spans).alias("x")).select("key", (F.col("x.n") + F.col("offset")).cast("long").alias("section"), F.col("x.start").cast("long").alias("start_line"), F.col("x.part").alias("part"))
+    title = F.when(F.col("section") > 0, F.trim(F.regexp_replace(F.get("part", F.lit(0)), "^#+", ""))).otherwise("")
+    return one.select("key", "section", title.alias("title"), "start_line", F.array_join("part", "\n").alias("content"))
 
 
 def markdown_header(line: Column) -> Column:
@@ -68,23 +73,27 @@ def template_chunks(templates: DataFrame, most: int = V.MAX_CHUNK_LINES, least:
 
 
 def batch_pack(rows: DataFrame, group: list[str], order: str, tokens: str, most_tokens: int = V.TOKENS_PER_BATCH, most_items: int = V.ITEMS_PER_BATCH) -> DataFrame:
-    """Greedy batches in order: a batch closes before the row that would exceed its tokens or its items. A fold over the
-    narrow rows (order, tokens) of each group; groups have to be of bounded size."""
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(tokens).alias("t")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<k:bigint,batch:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["sum"] + x["t"] > most_tokens) | (acc["n"] >= most_items))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, F.lit(1).cast("long")).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, x["t"]).otherwise(acc["sum"] + x["t"]).alias("sum"),
-            F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), batch.alias("batch")))).alias("out"),
-        )
-
-    packed = listed.select(*group, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("x"))
-    return packed.select(*group, F.col("x.k").alias(order), F.col("x.batch").alias("batch"))
+    """Greedy batches in order: a batch closes before the row that would exceed its tokens or its items: (group, order,
+    batch). The rows of a group are three numbers each and pass one task as a stream, in time linear in their number; a
+    group that may hold a large share of all rows should be cut into blocks by a further column."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group_now, batch, n, total = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for name, t in zip(zip(*(c.to_pylist() for c in b.columns[:-2]), strict=True), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                t = t or 0
+                if name != group_now:
+                    group_now, batch, n, total = name, 0, 0, 0
+                elif n and (total + t > most_tokens or n >= most_items):
+                    batch, n, total = batch + 1, 0, 0
+                n, total = n + 1, total + t
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int64())], names=[*group, order, "batch"])
+
+    narrow = rows.select(*group, order, tokens).repartition(*group).sortWithinPartitions(*group, order)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
+    return narrow.mapInArrow(number, f"{kinds}, batch long")
 
 
 def oversize(chunks: DataFrame, text: str, most: int = V.OVERSIZE_TOKENS) -> DataFrame:

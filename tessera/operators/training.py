@@ -14,17 +14,19 @@ from tessera.session import checkpointed
 def split(rows: DataFrame, key: str, share: float = 0.1, most: int | None = 500) -> DataFrame:
     """Adds ``split``: the rows with the smallest hashed keys validate, a share of all and ``most`` at most; the others train.
 
-    The threshold row is found by a distributed top-k, and rows are compared with it where they are. key: unique."""
+    The threshold hash is found where the rows are: counts of hashes by their first three hex digits lead to the one prefix
+    it has, and a top-k within that prefix to itself. key: unique."""
     n = rows.count()
     wanted = math.floor(n * share) if most is None else min(math.floor(n * share), most)
     digest = F.sha2(F.col(key).cast("string"), 256)
     if not wanted:
         return rows.withColumn("split", F.lit("train"))
-    if most is None:  # any number: the threshold by a range sort instead of a top-k
-        ordered = rows.select(digest.alias("h")).orderBy("h").rdd.zipWithIndex().filter(lambda x: x[1] == wanted - 1)
-        edge = ordered.first()[0].h
-    else:
-        edge = rows.select(digest.alias("h")).orderBy("h").limit(wanted).agg(F.max("h")).first()[0]
+    hashes = rows.select(digest.alias("h"))
+    for prefix, count in sorted(hashes.groupBy(F.left("h", F.lit(3)).alias("p")).count().collect()):  # 4096 at most
+        if count >= wanted:
+            break
+        wanted -= count
+    edge = hashes.filter(F.startswith("h", F.lit(prefix))).orderBy("h").limit(wanted).agg(F.max("h")).first()[0]
     return rows.withColumn("split", F.when(digest <= edge, "validation").otherwise("train"))
 
 

@@ -43,8 +43,13 @@ def oversize_largest(spark, sf_dir):
     return chunking.oversize(table(spark, sf_dir, "documents"), "text", 5000).select("doc_id", "tokens").orderBy(F.desc("tokens"), "doc_id").limit(5)
 
 
+#: Ids of a source that are batched in one sequence; a next block begins a next batch.
+BLOCK = 500
+
+
 def batch_pack(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") / 20000).cast("long").alias("block"), "doc_id", token_estimate(F.col("text")).alias("tokens"))
+    """Batches for each source and block of ids, so that no source is one task."""
+    docs = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") / BLOCK).cast("long").alias("block"), "doc_id", token_estimate(F.col("text")).alias("tokens"))
     return chunking.batch_pack(docs, ["source", "block"], "doc_id", "tokens")
 
 
@@ -69,8 +74,8 @@ h AS (SELECT *, regexp_matches(line, '^[A-Z][^ ]*[.]$') AS head FROM x),
 s AS (SELECT *, sum(head::int) OVER (PARTITION BY key ORDER BY pos) AS section FROM h)
 SELECT key, section::bigint AS section, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^#+', '')) END), '') AS title, min(pos) AS start_line, sha256(string_agg(line, chr(10) ORDER BY pos)) AS content_sha256
 FROM s GROUP BY key, section"""
-PACK_SQL = """WITH RECURSIVE d AS (
-  SELECT source, doc_id // 20000 AS block, doc_id, length(text) // 2 AS tokens, row_number() OVER (PARTITION BY source, doc_id // 20000 ORDER BY doc_id) AS rn FROM documents
+PACK_SQL = f"""WITH RECURSIVE d AS (
+  SELECT source, doc_id // {BLOCK} AS block, doc_id, length(text) // 2 AS tokens, row_number() OVER (PARTITION BY source, doc_id // {BLOCK} ORDER BY doc_id) AS rn FROM documents
 ), p AS (
   SELECT source, block, doc_id, rn, 0 AS batch, 1 AS n, tokens AS total FROM d WHERE rn = 1
   UNION ALL

@@ -19,8 +19,12 @@ def session(app: str = "tessera", **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder that the session names; a folder of our own only where it names none."""
+    """Cuts the lineage with files in the shared folder that the session names. Without one a local session gets a folder of
+    this machine; on a cluster, where executors could not share that, it is an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
