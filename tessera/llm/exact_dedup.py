@@ -22,12 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, joinable, texts, with_row_id
+from tessera.llm.common import checkpoint, joinable, small, texts, with_row_id
 
 QUOTIENT_BITS = 16
 REMAINDER_BITS = 32
 #: Entries that a slice of the merged filter has on average at most.
 SLICE_ENTRIES = 500_000
+#: Bits of the filter that texts pass before they are moved: 128 MB at most.
+FILTER_BITS = 30
+#: Rows of a group from which on it counts as hot.
+HOT_GROUP = 10_000
 #: Entries that a task's filter gathers before it sends its slices on.
 FILTER_ENTRIES = 2_000_000
 
@@ -144,17 +148,41 @@ def slices_for(rows: int) -> int:
     return n
 
 
+def _bitmap(repeated: DataFrame, number: int) -> tuple[int, np.ndarray]:
+    """Bits and bytes of a filter of one hash over the repeated fingerprints: eight bits for each of them, 2**FILTER_BITS at
+    most. It lets all of them pass; the bytes are gathered as words of 64 bits, so at most 2**FILTER_BITS / 8 bytes."""
+    bits = min(FILTER_BITS, max(16, (8 * number).bit_length()))
+    drop = QUOTIENT_BITS + REMAINDER_BITS - bits
+    at = F.shiftright("fp", drop)
+    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(shiftright(fp, {drop}), 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits, out
+
+
 def verified_groups(docs: DataFrame, repeated: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """sha, keep (doc_id and rid of the row that stays) and group_size of each text that more than one row has.
 
     Texts whose fingerprint is in ``repeated`` (checkpointed) are grouped by their bytes; copies in one partition are
-    combined before the shuffle."""
+    combined before the shuffle. A filter of bounded size leaves the others out where they are read, so they are not moved."""
+    number = repeated.count()
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated, number))
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, words = shared.value
+        drop = QUOTIENT_BITS + REMAINDER_BITS - bits
         for b in batches:
-            norm = [t.lower() for t in texts(b.column(2))]
-            fp = [fingerprint(t) for t in norm]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64()), pa.array(norm, pa.binary())], names=["rid", "doc_id", "fp", "norm"])
+            norm, fp, row = [], [], []
+            for i, t in enumerate(texts(b.column(2))):
+                t = t.lower()
+                f = fingerprint(t)
+                at = f >> drop
+                if int(words[at >> 6]) >> (at & 63) & 1:
+                    norm.append(t)
+                    fp.append(f)
+                    row.append(i)
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(fp, pa.int64()), pa.array(norm, pa.binary())], names=["rid", "doc_id", "fp", "norm"])
 
     rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).select("rid", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -163,6 +191,19 @@ def verified_groups(docs: DataFrame, repeated: DataFrame, text_col: str, id_col:
     return groups.filter("group_size > 1").select(F.sha2("norm", 256).alias("sha"), "keep", "group_size")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the columns of their group, if they have one. Where groups are too many to broadcast, the large ones still
+    are (each has HOT_GROUP rows at least), so that no key of the shuffled join is hot."""
+    if small(groups):
+        return rows.join(F.broadcast(groups), "sha", "left")
+    large = checkpoint(groups.filter(F.col("group_size") >= HOT_GROUP))
+    hot = rows.join(joinable(large), "sha", "left")
+    alone = F.when(F.col("keep").isNull(), F.col("sha")).otherwise(F.concat(F.lit("#"), F.col("rid").cast("string")))
+    cold = groups.filter(F.col("group_size") < HOT_GROUP).select(F.col("sha").alias("own"), F.col("keep").alias("keep_"), F.col("group_size").alias("size_"))
+    both = hot.withColumn("own", alone).join(cold, "own", "left")
+    return both.select("rid", "doc_id", "sha", F.coalesce("keep", "keep_").alias("keep"), F.coalesce("group_size", "size_").alias("group_size"))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: rid, doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -171,10 +212,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives no rows; further columns of the input are not looked at."""
     rows = checkpoint(fingerprints(docs, id_col, text_col))
     repeated = checkpoint(repeated_fingerprints(rows, slices_for(rows.count())))
-    groups = verified_groups(docs, repeated, text_col, id_col)
-    joined = rows.join(groups, "sha", "left")
+    groups = checkpoint(verified_groups(docs, repeated, text_col, id_col))
     alone = F.col("keep").isNull()
-    return joined.select(
+    return _with_groups(rows.select("rid", "doc_id", "sha"), groups).select(
         "rid",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
