@@ -7,7 +7,8 @@ the items as text, so a hash never decides. Items of fewer than 10 words are one
 them, so documents are searched for each such length in whole.
 
 At scale: fingerprints of a document are distinct before they leave it (two in seven words at most), the texts of the
-documents do not move unless the shared set is too large to broadcast, and all joins are equi-joins on hashes or windows.
+documents do not move unless the rows with a place in common are too many to broadcast, and all joins are equi-joins on
+hashes or windows. The text of a window is made only where hashes have met.
 """
 
 from __future__ import annotations
@@ -60,28 +61,45 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str) -> DataF
     return long.unionByName(short).distinct()
 
 
-def _candidates(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
-    """rid, shared (grams in common with an item) of each document that shares a fingerprint."""
-    prints = _with_grams(benchmark.select(F.col(text_col).alias("text")), "text").select(F.explode(_winnowed()).alias("gram")).distinct()
-    own = _with_grams(docs, "text").select("rid", F.explode(_winnowed()).alias("gram"))
-    met = own.join(joinable(checkpoint(prints)), "gram")
-    return met.groupBy("rid").agg(F.collect_set("gram").alias("shared"))
+def _fingerprints(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """gram: the different fingerprints of the items."""
+    return _with_grams(benchmark.select(F.col(text_col).alias("text")), "text").select(F.explode(_winnowed()).alias("gram")).distinct()
 
 
-def _occurrences(docs: DataFrame, benchmark: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
-    """rid, at (first word), n, window: where a window of an item occurs in a document."""
-    shared = checkpoint(_candidates(docs, benchmark, text_col))
-    near = _with_grams(docs.join(joinable(shared, lists="shared"), "rid"), "text")
+def _places(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """rid, n, at: where a window of WINDOW words may begin that an item has, too: around each gram of an item, in documents
+    that share a fingerprint."""
+    shared = _with_grams(docs, "text").select("rid", F.explode(_winnowed()).alias("gram")).join(joinable(prints), "gram").select("rid").distinct()
+    near = _with_grams(docs.join(joinable(checkpoint(shared)), "rid", "left_semi"), "text")
+    met = near.select("rid", F.size("w").alias("size"), F.posexplode_outer("g").alias("p", "gram")).join(joinable(prints), "gram")
+    # outer explodes: from inner ones Spark derives filters on the arrays and would make the words again for each element
     # a shared gram at p is in the windows that begin at p - (WINDOW - GRAM) .. p
-    hits = F.filter(_starts(F.size("g"), 1), lambda i: F.array_contains("shared", F.get("g", i)))
-    near = near.withColumn("hits", hits).withColumn("last", F.size("w") - WINDOW)
-    around = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.filter(F.sequence(p - (WINDOW - GRAM), p), lambda i: (i >= 0) & (i <= F.col("last"))))))
-    spans = near.select("rid", F.explode(F.transform(around, lambda i: F.struct(i.alias("at"), _window(i, WINDOW).alias("window")))).alias("x")).select("rid", "x.at", F.lit(WINDOW).alias("n"), "x.window")
-    for (n,) in windows.filter(F.col("n") < WINDOW).select("n").distinct().collect():  # at most nine lengths
-        grams = F.transform(_starts(F.size("w"), n), lambda i: F.struct(i.alias("at"), _window(i, n).alias("window")))  # noqa: B023
-        every = docs.withColumn("w", words(F.col("text"))).select("rid", F.explode(grams).alias("x"))
-        spans = spans.unionByName(every.select("rid", "x.at", F.lit(n).alias("n"), "x.window"))
+    begin = F.explode(F.sequence(F.greatest(F.col("p") - (WINDOW - GRAM), F.lit(0)), F.least("p", F.col("size") - WINDOW)))
+    return met.filter(F.col("size") >= WINDOW).filter(F.col("p") - (WINDOW - GRAM) <= F.col("size") - WINDOW).select("rid", F.lit(WINDOW).alias("n"), begin.alias("at")).distinct()
+
+
+def _short_places(docs: DataFrame, known: DataFrame) -> DataFrame | None:
+    """rid, n, at: where the hash of a shorter window is that of an item. Hashes meet, not texts."""
+    out = None
+    for (n,) in known.filter(F.col("n") < WINDOW).select("n").distinct().orderBy("n").collect():  # at most nine lengths
+        wanted = checkpoint(known.filter(F.col("n") == n).select(F.xxhash64(*(F.xxhash64(F.get(F.split("window", " "), F.lit(j))) for j in range(n))).alias("gram")).distinct())
+        h = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
+        grams = F.transform(_starts(F.size("h"), n), lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(n))))  # noqa: B023
+        met = docs.select("rid", h.alias("h")).select("rid", F.posexplode_outer(grams).alias("at", "gram")).join(joinable(wanted), "gram").select("rid", F.lit(n).alias("n"), "at")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def _occurrences(docs: DataFrame, benchmark: DataFrame, windows: DataFrame, text_col: str) -> DataFrame:
+    """rid, at (first word), n, window: where a window of an item occurs in a document, by comparison of the texts."""
     known = checkpoint(windows.select("n", "window").distinct())
+    places = _places(docs, checkpoint(_fingerprints(benchmark, text_col)))
+    short = _short_places(docs, known)
+    places = places if short is None else places.unionByName(short)
+    by_row = checkpoint(places.groupBy("rid").agg(F.collect_list(F.struct("n", "at")).alias("places")))
+    found = docs.join(joinable(by_row, lists="places"), "rid").select("rid", "places", words(F.col("text")).alias("w"))
+    text = F.transform("places", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), F.array_join(F.slice("w", x["at"] + 1, x["n"]), " ").alias("window")))
+    spans = found.filter(F.size("w") > 0).select("rid", F.explode_outer(text).alias("x")).select("rid", "x.at", "x.n", "x.window")
     return spans.join(joinable(known, 100_000), ["n", "window"])
 
 
