@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ DEPTH = 6
 #: Levels that are worked on inside of a slice, beside its own.
 SPAN = 2
 HEAD_BITS = 21
-WORD_BITS = 18
+WORD_BITS = 21
 FOLDS, HELD_OUT = 5, 1
 #: Closes a text and stands before it; no UTF-8 text has it.
 END = 0xFF
@@ -329,12 +330,19 @@ class Lookup:
 END_WORD = b""
 
 
+def word_keys(words) -> np.ndarray:
+    """128-bit hashes of words, as rows of two longs. Of ten thousand million different words two share one with a
+    probability under 1e-18."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+
+
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
-    """word, c of each different training token, the end token included."""
+    """k, k2 (key), c of each different training token, the end token included."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(np.fromiter(count.values(), np.int64, len(count)))], names=["word", "c"])
+            keys = word_keys(count)
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.fromiter(count.values(), np.int64, len(count)))], names=["k", "k2", "c"])
 
         count: Counter = Counter()
         for b in batches:
@@ -347,8 +355,8 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
         if count:
             yield rows()
 
-    partial = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(out, "word binary, c long")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"))
+    partial = train.select(F.col(text_col).cast("string").alias("text")).mapInArrow(out, "k long, k2 long, c long")
+    return partial.groupBy("k", "k2").agg(F.sum("c").alias("c"))
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------
@@ -368,30 +376,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bottom = tokens + 0.5 * (different + 1)
     head_words = counts.filter(F.col("c") >= tokens / 2**word_bits).toArrow()  # at most 2**word_bits words have as many
-    logs = np.log10((head_words.column("c").to_numpy() + 0.5) / bottom).tolist()
-    words = sc.broadcast(dict(zip(head_words.column("word").to_pylist(), logs, strict=True)))
+    own_keys = [head_words.column(c).to_numpy() for c in ("k", "k2")]
+    words = sc.broadcast((Lookup(own_keys[0], np.arange(1.0, len(own_keys[0]) + 1)), np.r_[0, own_keys[1]], np.r_[0.0, np.log10((head_words.column("c").to_numpy() + 0.5) / bottom)]))
     costs = written(gram_costs(written(gram_counts(plain.select("text", (~held_out).alias("learn")), depth)), depth))
     total = costs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     head = costs.filter(F.col("n") >= total / 2**head_bits).select("gram", "cost").toArrow()  # at most 2**head_bits grams
     grams = sc.broadcast(Lookup(head.column("gram").to_numpy(), head.column("cost").to_numpy()))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_logs, lookup = words.value, grams.value
+        (places, second, logs), lookup = words.value, grams.value
         unknown = float(np.log10(0.5 / bottom))
         for b in batches:
-            n_tokens, n_known, base, tail_words = [], [], [], []
-            parts = []
+            parts, counts_of = [], []
             for t in texts(b.column(2)):
                 own = words_of(t)
-                count = Counter(own)
-                count[END_WORD] += 1
-                tail = [(w, n) for w, n in count.items() if w not in head_logs]
-                unseen = sum(n for _, n in tail)
-                n_tokens.append(len(own) + 1)
-                n_known.append(len(own) + 1 - unseen)
-                base.append(sum(n * head_logs.get(w, unknown) for w, n in count.items()))
-                tail_words.append(tail)
+                counts_of.append(Counter(own))
+                counts_of[-1][END_WORD] += 1
                 parts.append(b" ".join(own))
+            key = word_keys(w for c in counts_of for w in c)
+            n = np.fromiter((k for c in counts_of for k in c.values()), np.int64, len(key))
+            row = np.repeat(np.arange(len(parts)), [len(c) for c in counts_of])
+            at = places.get(np.ascontiguousarray(key[:, 0]))[0].astype(np.int64)  # 0: not there
+            known = (at > 0) & (second[at] == key[:, 1])
+            n_tokens, n_known = (np.bincount(row, x, len(parts)).astype(np.int64) for x in (n, n * known))
+            base = np.bincount(row, n * np.where(known, logs[at], unknown), len(parts))
+            word_ends = pa.array(np.searchsorted(row[~known], np.arange(len(parts) + 1)).astype(np.int32))
+            word_lists = [pa.ListArray.from_arrays(word_ends, pa.array(x[~known])) for x in (key[:, 0], key[:, 1], n)]
             sums = np.zeros(len(parts))
             tail_text, tail_gram, tail_n = [], [], []
             for i, j in steps(np.cumsum([0, *map(len, parts)])):
@@ -415,22 +425,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]))) for x in (tail_gram, tail_n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, n_known, [len(p) + 1 for p in parts])), pa.array(base, pa.float64()), pa.array(sums),
-                    pa.array([[w for w, _ in x] for x in tail_words], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in tail_words], pa.list_(pa.int64())), *lists,
+                    b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, n_known, [len(p) + 1 for p in parts])), pa.array(base, pa.float64()), pa.array(sums), *word_lists, *lists,
                 ],
-                names=["rid", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score", "words", "word_ns", "grams", "gram_ns"],
+                names=["rid", "doc_id", "n_tokens", "n_known", "n_bytes", "base", "score", "words", "words2", "word_ns", "grams", "gram_ns"],
             )
 
     rows = with_row_id(plain).select("rid", "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = written(rows.mapInArrow(out, f"rid long, doc_id {kind}, n_tokens long, n_known long, n_bytes long, base double, score double, words array<binary>, word_ns array<long>, grams array<long>, gram_ns array<long>"))
+    scored = written(rows.mapInArrow(out, f"rid long, doc_id {kind}, n_tokens long, n_known long, n_bytes long, base double, score double, words array<long>, words2 array<long>, word_ns array<long>, grams array<long>, gram_ns array<long>"))
 
-    def tail(keys: str, ns: str) -> DataFrame:
-        return scored.select("rid", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(ns).alias("n"))).alias("x")).select("rid", "x.k", "x.n")
+    def tail(**columns: str) -> DataFrame:
+        x = F.explode(F.arrays_zip(*(F.col(c).alias(name) for name, c in columns.items()))).alias("x")
+        return scored.select("rid", x).select("rid", "x.*")
 
-    met_words = tail("words", "word_ns").join(counts.select(F.col("word").alias("k"), "c"), "k")
+    met_words = tail(k="words", k2="words2", n="word_ns").join(counts, ["k", "k2"])
     met_words = met_words.groupBy("rid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("base"), F.lit(0.0).alias("score"))
-    met_grams = tail("grams", "gram_ns").join(costs.filter(F.col("n") < total / 2**head_bits).select(F.col("gram").alias("k"), "cost"), "k")
+    met_grams = tail(gram="grams", n="gram_ns").join(costs.filter(F.col("n") < total / 2**head_bits).select("gram", "cost"), "gram")
     met_grams = met_grams.groupBy("rid").agg(F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.sum(F.col("n") * F.col("cost")).alias("score"))
     more = met_words.unionByName(met_grams).groupBy("rid").agg(*(F.sum(c).alias(f"more_{c}") for c in ("known", "base", "score")))
     value = F.col("score") + F.coalesce("more_score", F.lit(0.0))
