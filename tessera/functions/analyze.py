@@ -65,3 +65,14 @@ def recommendation(intent_: Column, classes: Column) -> Column:
         row = F.struct(F.lit(top_k).cast("long").alias("top_k"), F.lit(similarity).alias("min_similarity"), F.lit(dependencies).alias("include_dependencies"), chunk_type.alias("chunk_type"))
         out = F.when(intent_ == name, row) if out is None else out.when(intent_ == name, row)
     return out
+
+
+def asked_language(text: Column) -> Column:
+    """The language that a question names, in this order of search; "java" is in "javascript", and comes first."""
+    low = F.lower(text)
+    return F.coalesce(*(F.when(F.contains(low, F.lit(x)), x) for x in ("java", "python", "javascript", "typescript")))
+
+
+def asks_for_class_list(text: Column) -> Column:
+    low = F.lower(text)
+    return contains_any(low, V.CLASS_LIST_PHRASES) & F.contains(low, F.lit("class"))

@@ -86,3 +86,6 @@ RRF_K, KEYWORD_WEIGHT = 60, 1.1
 TOKENS_PER_BATCH, ITEMS_PER_BATCH, OVERSIZE_TOKENS = 15000, 100, 15000
 MIN_CHUNK_LINES, MAX_CHUNK_LINES = 3, 200
 HISTORY_SHOWN, HISTORY_CHARS = 4, 200
+
+# Phrases of questions that ask for a list of classes.
+CLASS_LIST_PHRASES = ["list all", "list the", "show all", "show the", "which are", "what are", "how many", "count"]

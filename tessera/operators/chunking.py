@@ -56,6 +56,16 @@ def markdown_header(line: Column) -> Column:
     return F.startswith(line, F.lit("#"))
 
 
+def document_sections(docs: DataFrame) -> DataFrame:
+    """docs: path, text. (path, language, section, start_line, content): Markdown is cut at its headers, the part before the
+    first one is called "document"; other texts stay whole under the name of their file."""
+    is_markdown = F.endswith(F.lower("path"), F.lit(".md"))
+    cut = sections(docs.filter(is_markdown), F.col("path"), F.col("text"), markdown_header)
+    cut = cut.select(F.col("key").alias("path"), F.lit("markdown").alias("language"), F.coalesce(F.nullif("title", F.lit("")), F.lit("document")).alias("section"), "start_line", "content")
+    whole = docs.filter(~is_markdown).select("path", F.lit("text").alias("language"), F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("section"), F.lit(1).cast("long").alias("start_line"), F.col("text").alias("content"))
+    return cut.unionByName(whole)
+
+
 def template_chunks(templates: DataFrame, most: int = V.MAX_CHUNK_LINES, least: int = V.MIN_CHUNK_LINES) -> DataFrame:
     """templates: path, text. JSON objects as one chunk each, and one for each top-level key if the text is longer than
     ``most`` lines; what is no JSON is left out: (id, path, chunk_type, name, section, content, keys)."""

@@ -44,8 +44,11 @@ BLOCKS = {
 }
 
 
-def java_types(files: DataFrame, max_lines: int = 10_000, include_private: bool = True) -> DataFrame:
-    """files: path, text. All types of each file; inner ones have the number of their parent. Longer files are left out."""
+def java_types(files: DataFrame, max_lines: int = 10_000, include_private: bool = True, include_comments: bool = True, include_imports: bool = True) -> DataFrame:
+    """files: path, text. All types of each file; inner ones have the number of their parent. Longer files are left out. Without
+    comments there is no documentation of types and methods, without imports their list is empty.
+
+    The scanner reads declarations by their marks and braces, so a file with a syntax error still gives the types around it."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in TYPES.split(", ") if " " in c and ":" not in c.split()[0]]
@@ -54,6 +57,11 @@ def java_types(files: DataFrame, max_lines: int = 10_000, include_private: bool
             yield pd.DataFrame(rows, columns=[*names[:16], "fields", "methods"])
 
     found = files.filter(F.size(splitlines(F.col("text"))) <= max_lines).select("path", "text").mapInPandas(extract, TYPES)
+    if not include_comments:
+        bare = F.transform("methods", lambda m: m.withField("documentation", F.lit(None).cast("string")))
+        found = found.withColumn("documentation", F.lit(None).cast("string")).withColumn("methods", bare)
+    if not include_imports:
+        found = found.withColumn("imports", F.array().cast("array<string>"))
     if include_private:
         return found
     public = lambda c: F.filter(c, lambda x: ~F.array_contains(x["modifiers"], "private"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,14 @@ from tessera.functions import values as V
 from tessera.functions.text import chunk_id, embedding_text, splitlines
 from tessera.operators import chunking, code, search, store, strategies, training
 from tessera.operators.embedding import embed, hashed_terms
-from tessera.session import checkpointed
+from tessera.session import bounded, checkpointed
 from tessera.sources import files
 
 COLUMNS = ["id", "content", "language", "chunk_type", "file_path", "start_line", "end_line", "class_name", "method_name", "documentation", "references", "metadata"]
+#: Classes that the answer to a question for all of them has in its prompt.
+LISTED = 1000
+#: Characters of a source that previews show: of sources, dependencies and templates.
+PREVIEWS = {"sources": 1000, "dependencies": 500, "templates": 1500}
 SYSTEM_PROMPT = "You answer questions about a code base from the snippets that you are given, and say so when they do not hold the answer."
 
 
@@ -33,14 +38,14 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     known = types.filter("parent = -1").select(F.col("name").alias("__known")).distinct()
     named = blocks.select("id", F.explode("references").alias("__known")).join(known, "__known", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("__known")).alias("references"))
     blocks = blocks.drop("references").join(named, "id", "left")
-    templates = chunking.template_chunks(files.relative(files.template_files(spark, folder), folder)).withColumn("language", F.lit("json")).withColumnRenamed("path", "file_path")
+    templates = chunking.template_chunks(files.template_files(spark, folder)).withColumn("language", F.lit("json")).withColumnRenamed("path", "file_path")
     templates = templates.withColumn("metadata", F.to_json(F.struct(F.col("name").alias("template_name"), "section", "keys")))
-    docs = files.relative(files.document_files(spark, folder), folder)
-    cut = chunking.sections(docs, F.col("path"), F.col("text"), lambda x: chunking.markdown_header(x))
+    docs = files.document_files(spark, folder)
+    cut = chunking.document_sections(docs.filter(F.size(splitlines(F.col("text"))) >= V.MIN_CHUNK_LINES))
     lines = splitlines(F.col("content"))
     cut = cut.filter(F.size(lines) >= V.MIN_CHUNK_LINES).select(
-        chunk_id(F.col("key"), F.coalesce(F.nullif("title", F.lit("")), F.lit("document")), F.lit("document")).alias("id"), chunking.truncated(lines).alias("content"), F.lit("markdown").alias("language"), F.lit("document").alias("chunk_type"),
-        F.col("key").alias("file_path"), "start_line", (F.col("start_line") + F.size(lines) - 1).alias("end_line"), F.to_json(F.struct(F.col("key").alias("document_name"), F.col("title").alias("section"))).alias("metadata"),
+        chunk_id(F.col("path"), F.col("section"), F.lit("document")).alias("id"), chunking.truncated(lines).alias("content"), "language", F.lit("document").alias("chunk_type"),
+        F.col("path").alias("file_path"), "start_line", (F.col("start_line") + F.size(lines) - 1).alias("end_line"), F.to_json(F.struct(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1).alias("document_name"), "section")).alias("metadata"),
     )
     return _shaped(code.java_chunks(types)).unionByName(_shaped(blocks)).unionByName(_shaped(templates)).unionByName(_shaped(cut))
 
@@ -96,9 +101,15 @@ class Retriever:
         return self._vector(self._filtered(language, chunk_type), question, top_k, None)
 
     def _vector(self, chunks: DataFrame, question: str, k: int, threshold: float | None) -> DataFrame:
-        numbered = chunks.select("id", "embedding").withColumn("vec_id", F.xxhash64("id"))
-        top = search.vector_topk(numbered, self.model([question], self.dims)[0], k, threshold)
-        return F.broadcast(top.withColumnRenamed("id", "vec_id")).join(numbered.select("id", "vec_id"), "vec_id").select("id", "similarity")
+        return search.vector_topk(chunks, self.model([question], self.dims)[0], k, threshold, id_col="id")
+
+    def _enums_of(self, name: str, language: str | None) -> DataFrame:
+        """id of the enums that belong to a class, by the prefix of their name or the parent in their metadata: among the best of
+        a keyword search, else of a vector search."""
+        enums = self._filtered(language, "enum")
+        own = enums.filter(F.startswith("class_name", F.lit(f"{name}.")) | (F.get_json_object("metadata", "$.parent_class") == name)).select("id")
+        found = search.keyword_search(enums, [f"{name}.Type", f"{name}.Category", name, "enum"], 10).join(own, "id", "left_semi").select("id")
+        return found if not found.isEmpty() else self._vector(enums, f"{name} enum inner enum Type Category", 5, 0.3).join(own, "id", "left_semi").select("id")
 
     def query(self, question: str, top_k: int | None = None, language: str | None = None, chunk_type: str | None = None, include_dependencies: bool | None = None, max_dependencies: int = 3, hybrid: bool = True, min_similarity: float | None = None) -> Answer:
         a = self.analyse(question)
@@ -123,7 +134,7 @@ class Retriever:
             found = search.boost(search.boost(named, F.coalesce(partial & ~exact, F.lit(False)), 1.3).select("id", "score", "rank", "class_name"), F.coalesce(exact, F.lit(False)))
             found = found.select("id", "score", "rank")
         if about_enum:
-            inner = self.chunks.filter((F.col("chunk_type") == "enum") & F.exists(F.array(*(F.lit(c + ".") for c in a["classes"])), lambda c: F.startswith("class_name", c)))
+            inner = checkpointed(reduce(DataFrame.unionByName, [self._enums_of(c, language) for c in a["classes"]]))
             if not inner.isEmpty():
                 found, direct = search.pin(found, inner), None
         if direct is not None:
@@ -154,14 +165,16 @@ class Retriever:
         """Classes that the template nearest to a path refers to; keys and values of its JSON name them."""
         template = F.broadcast(self._vector(self._filtered(None, "template"), path, 1, None)).join(self.chunks, "id")
         named = template.select(F.explode(F.array_distinct(files.json_names("content"))).alias("class_name"))
-        return self.chunks.filter("chunk_type = 'class'").drop("embedding").join(F.broadcast(named), "class_name")
+        return self.chunks.filter("chunk_type = 'class'").drop("embedding").join(bounded(checkpointed(named)), "class_name")
 
     def _class_list(self, question: str, a: dict, language: str | None) -> Answer:
+        """All classes as sources; the prompt has their number and the first LISTED of them by name."""
         classes = store.list_classes(self.chunks.drop("embedding"), language)
-        key = F.coalesce("class_name", "file_path")
-        lines = classes.select(F.struct(key.alias("k"), "file_path", "start_line", "end_line").alias("x")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-        text = F.array_join(F.transform("xs", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["k"], F.lit(" ("), x["file_path"], F.lit(":"), x["start_line"].cast("string"), F.lit("-"), x["end_line"].cast("string"), F.lit(")"))), "\n")
-        context, n = lines.select(text, F.size("xs")).first()
+        n = classes.count()
+        name = F.coalesce("class_name", "file_path")
+        line = F.concat(name, F.lit(" ("), "file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")"))
+        page = [r[0] for r in classes.orderBy(name, "file_path", "id").limit(LISTED).select(line).collect()]
+        context = "\n".join(f"{i}. {x}" for i, x in enumerate(page, 1)) + (f"\n... and {n - LISTED} more" if n > LISTED else "")
         prompt = f"All {n} indexed classes:\n\n{context}\n\nQuestion: {question}\nAnswer with the whole list."
         return self._answered(question, a, classes, None, context, prompt)
 
@@ -203,6 +216,47 @@ class Conversation:
         self.turns = []
 
 
+class Session(Conversation):
+    """A conversation where a question about classes goes past the history, to classes alone, with more results."""
+
+    def ask(self, question: str, top_k: int = 10, language: str | None = None, **options) -> Answer | None:
+        if not question.strip():
+            return None
+        if "class" not in question.lower():
+            return super().ask(question, top_k=top_k, **options)
+        named = self.retriever.chunks.sparkSession.createDataFrame([(question,)], "q string").select(analyze.asked_language(F.col("q"))).first()[0]
+        return self.retriever.query(question, top_k=max(3 * top_k, 20), language=language or named, chunk_type="class", **options)
+
+
+def shown(chunks: DataFrame, kind: str = "sources") -> DataFrame:
+    """Result rows for a reader: name, place and the beginning of the content."""
+    most = PREVIEWS[kind]
+    place = F.concat("file_path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    preview = F.concat(F.left("content", F.lit(most)), F.when(F.length("content") > most, "...").otherwise(""))
+    first = [c for c in ("rank", "score", "leg") if c in chunks.columns]
+    return chunks.select(*first, F.coalesce("class_name", "file_path").alias("name"), "chunk_type", place.alias("place"), "references", preview.alias("preview"))
+
+
+def dispatch(chunks: DataFrame, question: str | None = None, class_name: str | None = None, template: str | None = None, retrieve_only: bool = False, top_k: int = 10, language: str | None = None, with_dependencies: bool = False, **retriever):
+    """One request, by the first of these that is given: a class with its context, the classes that a template refers to, or a
+    question (an Answer; retrieve_only: the chunks with their similarity). An empty index is an error."""
+    if chunks.isEmpty():
+        raise ValueError("nothing is indexed yet")
+    r = Retriever(chunks, **retriever)
+    if class_name:
+        return shown(r.class_with_context(class_name))
+    if template:
+        return shown(r.template_dependencies(template), "templates")
+    if not question:
+        raise ValueError("give a question, a class name or a template")
+    if retrieve_only:
+        return shown(r.retrieve_only(question, top_k, language).withColumnRenamed("similarity", "score").join(chunks.drop("embedding"), "id"))
+    listing = chunks.sparkSession.createDataFrame([(question,)], "q string").select(analyze.asks_for_class_list(F.col("q")), analyze.asked_language(F.col("q"))).first()
+    if listing[0]:
+        return r._class_list(question, r.analyse(question), language or listing[1])
+    return r.query(question, top_k=top_k, language=language, include_dependencies=True if with_dependencies else None)
+
+
 def prepare(spark: SparkSession, folder: str, out: str, strategy: str, share: float = 0.1, most: int | None = 500) -> DataFrame:
     """Examples of a strategy from the Java files of a tree, split and written as JSON lines; gives the counts by split."""
     types = code.java_types(files.relative(files.java_files(spark, folder), folder), max_lines=500).filter("parent = -1")
@@ -215,7 +269,7 @@ def prepare(spark: SparkSession, folder: str, out: str, strategy: str, share: fl
 def prepare_templates(spark: SparkSession, folder: str, template_folder: str, out: str, mapping: str | None = None, synthetic: bool = True, share: float = 0.1) -> DataFrame:
     """Examples of classes with their matched templates, and inferred ones for the others; split and written as JSON lines."""
     types = code.java_types(files.relative(files.java_files(spark, folder), folder)).filter("parent = -1")
-    templates = files.template_files(spark, template_folder)
+    templates = files.template_files(spark, template_folder, sub=None)
     manual = files.manual_mapping(spark, mapping) if mapping else spark.createDataFrame([], "name string, template string")
     pairs = checkpointed(training.tiered_match(types.select("name").distinct(), templates.select("template").distinct(), files.template_references(templates), manual))
     content = pairs.join(templates.select("template", F.col("text").alias("content")), "template").select("name", "content")

@@ -11,11 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import values as V
-from tessera.session import checkpointed
+from tessera.session import bounded, checkpointed
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -24,9 +25,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def vector_scores(vectors: DataFrame, questions: list[tuple[int, list[float]]], k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(qid, id, similarity) with the best k of each Arrow batch; similarity is rounded to six places, NaN is left out."""
+    """(qid, id, similarity) with the best k of each Arrow batch; similarity is rounded to six places, NaN is left out. Ids are
+    of any type."""
+    kind = vectors.schema[id_col].dataType.simpleString()
     if not questions:
-        return vectors.sparkSession.createDataFrame([], "qid long, id long, similarity double")
+        return vectors.sparkSession.createDataFrame([], f"qid long, id {kind}, similarity double")
     asked = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in questions], np.int64), np.array([v for _, v in questions], np.float64).reshape(len(questions), -1)))
     rows = vectors.filter(F.col(vector_col).isNotNull()).select(id_col, vector_col)
 
@@ -36,17 +39,19 @@ def vector_scores(vectors: DataFrame, questions: list[tuple[int, list[float]]],
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
+            x = _matrix(b.column(1))
+            order = np.empty(b.num_rows, np.int64)
+            order[pc.sort_indices(b.column(0)).to_numpy()] = np.arange(b.num_rows)
             with np.errstate(invalid="ignore", divide="ignore"):
                 similarity = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 6)
             best = []
             for j in range(len(qids)):
                 good = np.flatnonzero(~np.isnan(similarity[:, j]))
-                best.append(good[np.lexsort((ids[good], -similarity[good, j]))[:k]])
+                best.append(good[np.lexsort((order[good], -similarity[good, j]))[:k]])
             row, question = np.concatenate(best), np.repeat(np.arange(len(qids)), [len(x) for x in best])
-            yield pa.RecordBatch.from_arrays([pa.array(qids[question]), pa.array(ids[row]), pa.array(similarity[row, question])], names=["qid", "id", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(qids[question]), b.column(0).take(pa.array(row)), pa.array(similarity[row, question])], names=["qid", "id", "similarity"])
 
-    return rows.mapInArrow(out, "qid long, id long, similarity double")
+    return rows.mapInArrow(out, f"qid long, id {kind}, similarity double")
 
 
 def vector_topk(vectors: DataFrame, question: list[float], k: int, min_similarity: float | None = None, **columns: str) -> DataFrame:
@@ -135,9 +140,11 @@ def reference_search(references: DataFrame, name: str, k: int) -> DataFrame:
 
 def dependencies(sources: DataFrame, references: DataFrame, classes: DataFrame, per_chunk: int = 3) -> DataFrame:
     """sources: id, rank; references: id, pos, name; classes: name, class_id. Classes that the first references of each
-    source name, without sources, each once at its first place: (class_id, source_rank, pos)."""
-    first = references.filter(F.col("pos") < per_chunk).join(F.broadcast(sources), "id")
-    found = first.join(classes, "name").join(F.broadcast(sources.select(F.col("id").alias("class_id"))), "class_id", "left_anti")
+    source name, without sources, each once at its first place: (class_id, source_rank, pos). sources is broadcast if a count
+    of it allows that."""
+    sources = bounded(sources)
+    first = references.filter(F.col("pos") < per_chunk).join(sources, "id")
+    found = first.join(classes, "name").join(sources.select(F.col("id").alias("class_id")), "class_id", "left_anti")
     low = found.groupBy("class_id").agg(F.min(F.struct(F.col("rank").alias("source_rank"), "pos")).alias("at"))
     return low.select("class_id", "at.source_rank", "at.pos")
 

@@ -71,6 +71,22 @@ def list_classes(chunks: DataFrame, language: str | None = None) -> DataFrame:
     return found.orderBy("language", "class_name", "id")
 
 
+def chunks_like(chunks: DataFrame, text: str, k: int = 50) -> DataFrame:
+    """Chunks with a text in their class name or path: class_name, chunk_type, file_path, size, parent_class (of the metadata)."""
+    found = chunks.filter(F.contains("class_name", F.lit(text)) | F.contains("file_path", F.lit(text)))
+    return found.select("id", "class_name", "chunk_type", "file_path", F.length("content").alias("size"), F.get_json_object("metadata", "$.parent_class").alias("parent_class")).orderBy("chunk_type", "class_name", "id").limit(k)
+
+
+def names_by(chunks: DataFrame, column: str) -> DataFrame:
+    """(group, n, first): for each language or type its number of chunks and the first 100 names, sorted; null is a group."""
+    name = F.coalesce("class_name", "file_path")
+    place = F.row_number().over(Window.partitionBy(column).orderBy("name", "id"))
+    few = chunks.select(column, "id", name.alias("name")).withColumn("place", place).filter("place <= 100")
+    listed = few.groupBy(column).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("first"))
+    counts = chunks.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(listed, counts[column].eqNullSafe(listed[column])).select(counts[column].alias("group"), "n", "first")
+
+
 def known_classes(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.col("chunk_type") == "class").select("class_name").distinct()
 
@@ -106,11 +122,26 @@ class ChunkStore:
         checked = checked.withColumn("references", F.when(F.size("references") > 0, F.col("references"))).withColumn("metadata", F.nullif("metadata", F.lit("{}")))
         self._write(upsert(self.read(), checked.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))), self._current()[0] + 1)
 
-    def delete_by_file(self, path: str) -> None:
-        self._write(delete_by_file(self.read(), path), self._current()[0] + 1)
+    def _delete(self, kept: DataFrame) -> int:
+        before = self.read().count()
+        self._write(kept, self._current()[0] + 1)
+        return before - self.read().count()
+
+    def delete_by_file(self, path: str) -> int:
+        """The number of chunks that are gone."""
+        return self._delete(delete_by_file(self.read(), path))
+
+    def delete_by_prefix(self, prefix: str) -> int:
+        """The number of chunks that are gone."""
+        return self._delete(delete_by_prefix(self.read(), prefix))
+
+    def is_empty(self) -> bool:
+        return self.read().isEmpty()
 
-    def delete_by_prefix(self, prefix: str) -> None:
-        self._write(delete_by_prefix(self.read(), prefix), self._current()[0] + 1)
+    def drop(self) -> None:
+        """Removes the folder with all versions; nothing happens if it is not there."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 # --- approximate index ---------------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tessera", **conf: str) -> SparkSession:
@@ -28,3 +29,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint()
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The table with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df: small or checkpointed."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -33,16 +33,38 @@ def code_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
     return found.withColumn("language", language_of(F.col("path"), V.LANGUAGES))
 
 
+def below(df: DataFrame, sub: str) -> DataFrame:
+    """Of files with paths below a folder: those in its folder ``sub``, at any depth, and those in the folder itself."""
+    return df.filter(F.startswith("path", F.lit(f"{sub}/")) | ~F.contains("path", F.lit("/")))
+
+
 def document_files(spark: SparkSession, folder: str) -> DataFrame:
-    return files(spark, folder, [".md", ".txt", ".rst"])
+    """Documents under docs/ and in the root, with paths below the folder."""
+    return below(relative(files(spark, folder, [".md", ".txt", ".rst"]), folder), "docs")
 
 
-def template_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Parseable JSON files, with the name of the file without its suffix."""
-    found = files(spark, folder, [".json"]).filter(F.try_parse_json("text").isNotNull())
+def template_files(spark: SparkSession, folder: str, sub: str | None = "templates") -> DataFrame:
+    """Parseable JSON files under templates/ and in the root, with paths below the folder and the name of the file without its
+    suffix; of the whole folder if ``sub`` is None."""
+    found = relative(files(spark, folder, [".json"]), folder)
+    found = (found if sub is None else below(found, sub)).filter(F.try_parse_json("text").isNotNull())
     return found.withColumn("template", F.regexp_extract("path", r"([^/]+?)\.json$", 1))
 
 
+def sizes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, found, bytes, megabytes (two places) of each of some files, which need not be there. The files are not read."""
+    rows = spark.createDataFrame([(p, f"{p.rstrip('/').rpartition('/')[0] or '.'}", p.rstrip("/").rpartition("/")[2]) for p in paths], "path string, folder string, name string")
+    known = None
+    for folder in sorted({r.folder for r in rows.select("folder").distinct().collect()}):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            one = spark.read.format("binaryFile").load(folder).select(F.lit(folder).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+            known = one if known is None else known.unionByName(one)
+    known = spark.createDataFrame([], "folder string, name string, length long") if known is None else known
+    joined = rows.join(known, ["folder", "name"], "left")
+    return joined.select("path", F.col("length").isNotNull().alias("found"), F.col("length").alias("bytes"), F.round(F.col("length") / (1024 * 1024), 2).alias("megabytes"))
+
+
 def json_names(text_column: str = "text"):
     """Keys and string values of a JSON text that look like class names, in order, with repeats; from its tokens, at any depth."""
     return F.filter(F.regexp_extract_all(F.col(text_column), F.lit(r'"((?:[^"\\]|\\.)*)"'), 1), lambda x: x.rlike("^[A-Z][a-zA-Z0-9]+$"))

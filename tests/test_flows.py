@@ -2,10 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import code, embedding, retriever, store, strategies, training
+from tessera.operators import code, embedding, retriever, search, store, strategies, training
 from tessera.plans import samples
 from tessera.sources import files
 from tessera.streaming import ingest
@@ -18,6 +19,9 @@ def tree(tmp_path_factory):
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text, encoding="utf-8")
     (root / "tools/bad.py").write_bytes(b"x = '\xff\xfe'")
+    (root / "docs/notes.txt").write_text("one\n# two\nthree\n# four\nfive")
+    (root / "tools/other.md").write_text("# not\na\nb\nc")
+    (root / "tools/other.json").write_text("{}")
     return str(root)
 
 
@@ -77,12 +81,83 @@ def test_deletes(spark, tmp_path):
         if name not in wide.columns:
             wide = wide.withColumn(name, F.lit("x").cast(kind) if name in ("content", "language", "chunk_type") else F.lit(None).cast(kind))
     s.upsert(wide)
-    s.delete_by_prefix("a1/")
-    s.delete_by_file("a0/f0")
+    assert not s.is_empty() and s.delete_by_prefix("a1/") == 3 and s.delete_by_prefix("a1/") == 0
+    assert s.delete_by_file("a0/f0") == 1
     assert sorted(r.id for r in s.read().collect()) == ["2", "4"]
     with pytest.raises(Exception, match="dimensions"):
         s.upsert(wide.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
         s.read().count()
+    s.drop()
+    s.drop()
+    assert not (tmp_path / "s").exists()
+    got = {r.path: (r.found, r.bytes) for r in files.sizes(spark, [str(tmp_path / "x"), "/nowhere/y", "/root/testdata/sf0.001/nation.parquet"]).collect()}
+    assert got[str(tmp_path / "x")] == (False, None) and got["/nowhere/y"] == (False, None) and got["/root/testdata/sf0.001/nation.parquet"][0]
+
+
+def test_documents_and_templates_have_their_folders(spark, tree):
+    chunks = {(r.file_path, r.language, r.chunk_type) for r in retriever.scan(spark, tree).collect()}
+    assert ("docs/notes.txt", "text", "document") in chunks and ("docs/guide.md", "markdown", "document") in chunks
+    assert not any(p.startswith("tools/other") for p, _, _ in chunks)
+
+
+def test_dispatch(indexed, spark):
+    s, _ = indexed
+    chunks = s.read().cache()
+    with pytest.raises(ValueError, match="nothing is indexed"):
+        retriever.dispatch(chunks.limit(0), question="x")
+    with pytest.raises(ValueError, match="give a question"):
+        retriever.dispatch(chunks)
+    assert {r.leg for r in retriever.dispatch(chunks, class_name="OrderDao", dims=64).collect()} == {"self", "referenced", "referencing"}
+    assert retriever.dispatch(chunks, template="templates/list.json", dims=64).count() >= 1
+    found = retriever.dispatch(chunks, question="invoice", retrieve_only=True, top_k=3, dims=64).collect()
+    assert len(found) == 3 and all(len(r.preview) <= 1003 and ":" in r.place for r in found)
+    assert retriever.dispatch(chunks, question="How many java classes are there?", dims=64).sources.count() == 5
+    asked = retriever.Session(retriever.Retriever(chunks, dims=64))
+    assert asked.ask(" ") is None and {r.chunk_type for r in asked.ask("class of invoices", min_similarity=0.0).sources.collect()} == {"class"} and not asked.turns
+    asked.ask("orders", min_similarity=0.0)
+    assert len(asked.turns) == 2
+
+
+def test_groups_and_parts_of_names(indexed):
+    s, _ = indexed
+    groups = {r.group: r for r in store.names_by(s.read(), "language").collect()}
+    assert groups["java"].n == sum(n for (language, _), n in indexed[1].items() if language == "java") and groups["java"].first == sorted(groups["java"].first)
+    like = store.chunks_like(s.read(), "Service.State").collect()
+    assert {(r.class_name, r.parent_class) for r in like} == {("OrderService.State", "OrderService")}
+    assert {r.file_path for r in store.chunks_like(s.read(), "OrderDao.java").collect()} == {"java/shop/OrderDao.java"}
+
+
+def test_extractor_options(spark):
+    java = spark.createDataFrame(samples.JAVA, "path string, text string")
+    bare = code.java_types(java, include_comments=False, include_imports=False).collect()
+    assert all(r.documentation is None and not r.imports and all(m.documentation is None for m in r.methods) for r in bare)
+    broken = "package a;\npublic class Good {\n  int x;\n  void f() { }\n}\nclass Bad { void g( { }\n"
+    assert "Good" in {r.name for r in code.java_types(spark.createDataFrame([("b.java", broken)], "path string, text string")).collect()}
+
+
+def test_recall_of_cells(spark):
+    """Clustered vectors, a hundred lists of which a quarter is probed, several parts a cell and blocks of questions."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(150, 16))
+    rows = [(i, [float(v) for v in centre[i % 150] + rng.normal(size=16) * 0.7]) for i in range(6000)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = v.filter("vec_id % 50 = 0")
+    celled, centres = store.build_cells(v, lists=100)
+    near = store.search_cells(celled, centres, asked, 10, at_once=60, part_rows=40).select("qid", "id")
+    exact = search.vector_topk_many(v, asked, 10).select("qid", "id")
+    assert celled.count() == 6000 and near.count() == 1200 and exact.join(near, ["qid", "id"]).count() / 1200 >= 0.9
+
+
+def test_recall_of_registered_cells(spark):
+    from tessera.plans import retrieval
+
+    assert retrieval.ann_cells(spark, "/root/testdata/sf0.01").agg(F.avg(F.col("found").cast("int"))).first()[0] >= 0.9
+
+
+def test_deletes_of_nothing(spark, tmp_path):
+    s = store.ChunkStore(spark, str(tmp_path / "s"), dims=2)
+    s.create()
+    assert s.is_empty() and s.delete_by_file("x") == 0
 
 
 def test_prepare(spark, tree, tmp_path):
