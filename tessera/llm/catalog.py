@@ -14,6 +14,7 @@ AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents. A row for each row of documents; null text is empty and has none; repeated rows repeat."""
     found = pii.find(read(spark, sf_dir, "documents"))
 
     def joined(spans: str):
@@ -27,15 +28,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learned outside the held-out fold. A row for each row of documents; null text is empty (its end alone); a null id is in the fold of the empty string."""
     return ctw.score(read(spark, sf_dir, "documents")).drop("rid")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and their components over all documents. A row for each row; texts without words have fingerprint 0 and link like others; a null id is larger than any other."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in all documents, with the places where they are. A row for each row of documents; null text has none."""
     found = licenses.scan(read(spark, sf_dir, "documents"))
     spans = F.transform("matches", lambda m: F.concat_ws(":", m["licence"], m["start"], m["end"]))
     return found.select(
@@ -47,25 +51,30 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens. Null text is empty and still has its end; repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), with_ids=False)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels outside the held-out fold. A row for each row of documents; null text is empty; labels of no document do not count."""
     docs = read(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents. A row for each row; null text is empty; a null id is smaller than any other; of rows with equal text and id the last one stays."""
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents")).drop("rid")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets in all documents, with the probability that they are. A row for each candidate; null text has none."""
     found = secrets.scan(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "probability", "secret")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of all documents. A row for each row of documents; null text is empty and has none."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)).drop("rid")
 
 
@@ -77,6 +86,7 @@ FROM n
 """
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark in all documents. A row for each row of documents; null has no words; repeated items count once, a null item id is empty."""
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 

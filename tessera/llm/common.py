@@ -27,18 +27,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Parts of names of logical operators after which a second run may deliver other rows in a partition, or in another order.
+MOVING = ("Aggregate", "Join", "Limit", "Repartition", "Sample", "Sort", "Window")
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """Adds an id for each row. It is the same in each scan of the same files, so it may link two scans of one table;
     repeated or null document ids do not disturb it.
 
     How files are cut into partitions depends on the cores that are there, unless ``spark.sql.files.minPartitionNum`` is set;
-    so it is set here once, and an executor lost between two scans does not move a row to another id."""
+    so it is set here once, and an executor lost between two scans does not move a row to another id. A table whose plan
+    moves rows may come in another order the next time: see ``settled``."""
     spark = df.sparkSession
     if spark.conf.get(SPLITS, None) is None:
         spark.conf.set(SPLITS, spark.sparkContext.defaultParallelism)
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table itself if each run of its plan delivers the same rows in the same order (scans of files, checkpoints, local
+    rows, and what works on single rows), else a written copy. Operators call it once on their input before they number
+    its rows more than once."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names, left = [], [plan]
+    while left:
+        node = left.pop()
+        names.append(node.nodeName())
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return written(df) if any(m in n for n in names for m in MOVING) else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which executors share. Where it is unset, a folder of this machine, for local
     sessions only: on a cluster other machines could not read it, so there it is an error."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, UPPER, checkpoint, joinable, with_row_id
+from tessera.llm.common import LOWER, UPPER, checkpoint, joinable, settled, with_row_id
 
 WINDOW = 10
 GRAM = 5
@@ -108,6 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A word is hit if it lies in any occurrence of a window of an item. Null texts have no words; a null item id counts
     as empty text; repeated items count once. Empty tables give no rows, or rows without hits."""
+    docs = settled(docs)
     rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     windows = checkpoint(benchmark_windows(items, "item", "text"))
@@ -141,5 +142,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without contaminated documents; all columns stay."""
+    docs = settled(docs)
     dropped = checkpoint(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col("rid").alias("__rid")))
     return with_row_id(docs, "__rid").join(joinable(dropped), "__rid", "left_anti").drop("__rid")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, joinable, small, texts, with_row_id
+from tessera.llm.common import checkpoint, joinable, small, settled, texts, with_row_id
 
 QUOTIENT_BITS = 16
 REMAINDER_BITS = 32
@@ -210,6 +210,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical after lower-casing A-Z; null is the empty text and equals it. The row with the
     largest id stays (a null id is the smallest); of rows with the same id and text the last one stays. An empty table
     gives no rows; further columns of the input are not looked at."""
+    docs = settled(docs)
     rows = checkpoint(fingerprints(docs, id_col, text_col))
     repeated = checkpoint(repeated_fingerprints(rows, slices_for(rows.count())))
     groups = checkpoint(verified_groups(docs, repeated, text_col, id_col))
@@ -226,5 +227,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the rows that ``exact_duplicates`` marks as not kept; all columns stay."""
+    docs = settled(docs)
     dropped = checkpoint(exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("rid").alias("__rid")))
     return with_row_id(docs, "__rid").join(joinable(dropped), "__rid", "left_anti").drop("__rid")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, joinable, texts, with_row_id
+from tessera.llm.common import checkpoint, joinable, settled, texts, with_row_id
 from tessera.llm.components import connected_components
 
 SEED = 42
@@ -248,6 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts are empty; texts without words have fingerprint 0 and link like any other. Rows with equal fingerprints
     are one node, so a hot text costs one row. A null id is larger than any other. Further columns are not looked at."""
+    docs = settled(docs)
     rows = checkpoint(fingerprints(docs, id_col, text_col, words_in_shingle))
     nodes = checkpoint(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("low")))
     roots = connected_components(links(nodes.select("fp"), max_bits), "a", "b").select(F.col("node").alias("fp"), "root")
@@ -261,5 +262,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The input with one row of each group of linked rows: the one with the smallest id. All columns stay."""
+    docs = settled(docs)
     dropped = checkpoint(near_duplicates(docs, id_col, text_col, words_in_shingle, max_bits).filter("rid <> first.rid").select(F.col("rid").alias("__rid")))
     return with_row_id(docs, "__rid").join(joinable(dropped), "__rid", "left_anti").drop("__rid")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup as ed
 
@@ -75,3 +76,25 @@ def test_groups_compare_bytes(spark):
     every = spark.createDataFrame([(ed.fingerprint(f"text {i}".encode()),) for i in range(3)] + [(ed.fingerprint(b"alone"),)], "fp long")
     groups = ed.verified_groups(docs, every, "text", "doc_id").collect()
     assert sorted((r["keep"].doc_id, r.group_size) for r in groups) == [(6, 3), (7, 3), (8, 3)]
+
+
+def test_input_that_may_move_is_written_first(spark, tmp_path):
+    """A sample or a shuffle may deliver other rows the next time; a scan with projections and filters does not."""
+    from tessera.llm.common import settled
+
+    spark.range(1000).selectExpr("id as doc_id", "cast(id % 300 as string) as text").write.parquet(str(tmp_path / "t"))
+    plain = spark.read.parquet(str(tmp_path / "t")).filter("doc_id > 5").withColumn("x", F.lit(1))
+    assert settled(plain) is plain
+    moved = plain.repartition(5).sample(0.9, seed=3).orderBy(F.rand())
+    assert settled(moved) is not moved
+    kept = ed.drop_exact_duplicates(moved)
+    assert kept.count() == kept.select("text").distinct().count()
+
+
+def test_groups_too_many_to_broadcast(spark, monkeypatch):
+    """Large groups are broadcast, the others shuffled; the rows are the same."""
+    docs = spark.createDataFrame([(i, f"t{min(i % 40, 9)}") for i in range(400)] + [(1000 + i, f"u{i // 2}") for i in range(60)], "doc_id long, text string")
+    expected = sorted(map(tuple, ed.exact_duplicates(docs).drop("rid").collect()))
+    monkeypatch.setattr(ed, "HOT_GROUP", 50)
+    monkeypatch.setattr(ed, "small", lambda df: False)
+    assert sorted(map(tuple, ed.exact_duplicates(docs).drop("rid").collect())) == expected

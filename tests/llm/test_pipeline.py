@@ -6,11 +6,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import quality, simhash
+from tessera.llm import quality
 from tessera.llm.components import connected_components
+from test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,18 +43,7 @@ def test_stages(spark, tmp_path):
                 groups[t.encode().lower()].append(d)
             assert set(texts) == {max(g) for g in groups.values()}
         elif name == "near_dedup":
-            prints = {d: simhash.fingerprint(t.encode()) for d, t in before.items()}
-            gone, kept = set(), set()
-            for d in sorted(prints):
-                if d not in gone:
-                    kept.add(d)
-                    stack = [d]
-                    while stack:
-                        x = stack.pop()
-                        near = [y for y in prints if y not in gone and y not in kept and (prints[x] ^ prints[y]).bit_count() <= 2]
-                        gone |= set(near)
-                        stack += near
-            assert set(texts) == kept
+            assert sorted(texts) == brute_kept(list(before.items()))
         elif name == "decontaminate":
             windows = set()
             for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
@@ -73,8 +64,42 @@ def test_stages(spark, tmp_path):
             assert set(spans) == set(before)
 
 
-def test_run_equals_stages(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def rows_of(df):
+    return sorted(map(str, (tuple(r) for r in df.select(sorted(df.columns)).collect())))
+
+
+def staged(spark, sf_dir, folder):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
+
+
+def test_run_equals_stages(spark, tmp_path):
+    """run() keeps its tables in the shared folder and removes them; on documents with null ids and texts, repeated rows, a
+    further column and texts without words."""
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = base.filter("doc_id < 60")
+    more = spark.createDataFrame([(None, "one two three", "en"), (None, None, "en"), (5, "", None), (5, "", None), (7, " \n", "de")], "doc_id long, text string, lang string")
+    for c in base.columns:
+        if c not in more.columns:
+            more = more.withColumn(c, F.lit(None).cast(base.schema[c].dataType))
+    odd = odd.unionByName(odd.filter("doc_id < 20")).unionByName(more.select(base.columns)).withColumn("fp", F.lit("x"))
+    odd.coalesce(3).write.parquet(str(tmp_path / "in/documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"in/{name}.parquet"))
+    assert spark.conf.get("spark.checkpoint.dir", None)
+    got = rows_of(corpus_pipeline.run(spark, str(tmp_path / "in")))
+    assert got == rows_of(staged(spark, str(tmp_path / "in"), str(tmp_path / "a"))) and len(got) > 20
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_components(spark):
