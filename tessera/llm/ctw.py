@@ -15,9 +15,9 @@ counts (a gram without any has a node that predicts one half, as it should):
 
 A slice spans DEPTH - SLICE = 2 more bytes of context and the coded one: 2**24 grams at most, whatever the corpus.
 
-Texts meet their grams so: those with a share of 2**-HEAD_BITS of all bytes at least (so many at most) are looked up where
-the text is read; the others, none of which is frequent, meet theirs in a shuffled join. The same goes for the words of
-the unigram base score, with WORD_BITS. Which gram is frequent decides where it is looked up, never its value.
+Texts meet their grams so: the most frequent ones, 2**HEAD_BITS at most, are looked up where the text is read; the others
+meet theirs in a shuffled join. The same goes for the words of the unigram base score, with WORD_BITS. Which gram is
+frequent decides where it is looked up, never its value.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ DEPTH = 6
 #: Levels that are worked on inside of a slice, beside its own.
 SPAN = 2
 HEAD_BITS = 21
-WORD_BITS = 21
+WORD_BITS = 19
 FOLDS, HELD_OUT = 5, 1
 #: Closes a text and stands before it; no UTF-8 text has it.
 END = 0xFF
@@ -296,7 +296,7 @@ class Lookup:
     """Values of keys from 0 on, by buckets of hashes."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = len(keys).bit_length() + 1
+        self.bits = max(1, len(keys).bit_length())
         bucket = self._bucket(keys)
         order = np.argsort(bucket, kind="stable")
         self.keys, self.values = np.r_[keys[order], -1], np.r_[values[order], 0.0]
@@ -359,6 +359,19 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     return partial.groupBy("k", "k2").agg(F.sum("c").alias("c"))
 
 
+def head_of(counts: DataFrame, n: str, most: int) -> Column:
+    """Whether a row is among the most frequent ones, ``most`` at most; equal counts are on one side. By a histogram with eight
+    steps for each doubling."""
+    step = F.floor(F.log2(F.col(n)) * 8)
+    first, total = None, 0
+    for at, number in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += number
+        if total > most:
+            break
+        first = at
+    return F.lit(False) if first is None else step >= first
+
+
 # --- scores -----------------------------------------------------------------------------------------------------------
 
 
@@ -375,12 +388,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     counts = written(word_counts(plain.filter(~held_out), "text"))
     tokens, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bottom = tokens + 0.5 * (different + 1)
-    head_words = counts.filter(F.col("c") >= tokens / 2**word_bits).toArrow()  # at most 2**word_bits words have as many
+    head_words = counts.filter(head_of(counts, "c", 1 << word_bits)).toArrow()
     own_keys = [head_words.column(c).to_numpy() for c in ("k", "k2")]
     words = sc.broadcast((Lookup(own_keys[0], np.arange(1.0, len(own_keys[0]) + 1)), np.r_[0, own_keys[1]], np.r_[0.0, np.log10((head_words.column("c").to_numpy() + 0.5) / bottom)]))
     costs = written(gram_costs(written(gram_counts(plain.select("text", (~held_out).alias("learn")), depth)), depth))
-    total = costs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    head = costs.filter(F.col("n") >= total / 2**head_bits).select("gram", "cost").toArrow()  # at most 2**head_bits grams
+    is_head = head_of(costs, "n", 1 << head_bits)
+    head = costs.filter(is_head).select("gram", "cost").toArrow()
     grams = sc.broadcast(Lookup(head.column("gram").to_numpy(), head.column("cost").to_numpy()))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +453,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     met_words = tail(k="words", k2="words2", n="word_ns").join(counts, ["k", "k2"])
     met_words = met_words.groupBy("rid").agg(F.sum("n").alias("known"), F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5)))).alias("base"), F.lit(0.0).alias("score"))
-    met_grams = tail(gram="grams", n="gram_ns").join(costs.filter(F.col("n") < total / 2**head_bits).select("gram", "cost"), "gram")
+    met_grams = tail(gram="grams", n="gram_ns").join(costs.filter(~is_head).select("gram", "cost"), "gram")
     met_grams = met_grams.groupBy("rid").agg(F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.sum(F.col("n") * F.col("cost")).alias("score"))
     more = met_words.unionByName(met_grams).groupBy("rid").agg(*(F.sum(c).alias(f"more_{c}") for c in ("known", "base", "score")))
     value = F.col("score") + F.coalesce("more_score", F.lit(0.0))
