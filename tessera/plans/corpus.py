@@ -93,13 +93,15 @@ def _questions(spark, sf_dir) -> DataFrame:
 
 #: Questions with names and phrases that the conversations do not have.
 ASKED = [
-    (1, "List all classes that extend BaseService"), (2, "How does OrderService.processPayment handle a database error?"), (3, "Where is UserDao used by loadAccount and saveAccount?"),
-    (4, "Compare JsonParser vs XmlParser"), (5, "What is the UserRepository?"), (6, "find the login validation"), (7, "Explain why doesCache expire the auth token"), (8, "Which tables does the schema of Invoice have?"), (9, ""),
+    ("q1", "List all classes that extend BaseService"), ("q2", "How does OrderService.processPayment handle a database error?"), ("q3", "Where is UserDao used by loadAccount and saveAccount?"),
+    ("q4", "Compare JsonParser vs XmlParser"), ("q5", "What is the UserRepository?"), ("q6", "find the login validation"), ("q7", "Explain why doesCache expire the auth token"), ("q8", "Which tables does the schema of Invoice have?"), ("q9", ""),
 ]
 
 
-def asked(spark) -> DataFrame:
-    return spark.createDataFrame(ASKED, "qid long, text string")
+def asked(spark, sf_dir) -> DataFrame:
+    """qid, text: all user turns of the conversations, and the questions above."""
+    more = spark.createDataFrame(ASKED, "qid string, text string")
+    return _questions(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("qid"), "text").unionByName(more)
 
 
 def intent_classify(spark, sf_dir):
@@ -120,13 +122,12 @@ def search_keywords(spark, sf_dir):
 
 
 def term_expand(spark, sf_dir):
-    """Of the questions that are asked in code, since the conversations are of invented words."""
-    return asked(spark).select("qid", F.array_join(analyze.expanded_terms(analyze.primary_terms(F.col("text"))), ",").alias("terms"))
+    return asked(spark, sf_dir).select("qid", F.array_join(analyze.expanded_terms(analyze.primary_terms(F.col("text"))), ",").alias("terms"))
 
 
 def question_analysis(spark, sf_dir):
     text = F.col("text")
-    out = asked(spark).select("qid", analyze.intent(text).alias("intent"), F.array_join(analyze.class_names(text), ",").alias("classes"), F.array_join(analyze.method_names(text), ",").alias("methods"), F.array_join(analyze.primary_terms(text), ",").alias("terms"), analyze.recommendation(analyze.intent(text), analyze.class_names(text)).alias("r"))
+    out = asked(spark, sf_dir).select("qid", analyze.intent(text).alias("intent"), F.array_join(analyze.class_names(text), ",").alias("classes"), F.array_join(analyze.method_names(text), ",").alias("methods"), F.array_join(analyze.primary_terms(text), ",").alias("terms"), analyze.recommendation(analyze.intent(text), analyze.class_names(text)).alias("r"))
     return out.select("qid", "intent", "classes", "methods", "terms", "r.*")
 
 
@@ -135,7 +136,7 @@ def _quoted(values) -> str:
 
 
 INTENT = "CASE " + " ".join(f"WHEN list_has_any(list_transform([{_quoted(p)}], lambda x: CASE WHEN contains(lower(trim(text)), x) THEN 1 ELSE 0 END), [1]) THEN '{name}'" for name, p in V.INTENT_PHRASES.items()) + f" ELSE '{V.DEFAULT_INTENT}' END"
-ASKED_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted([t])})" for i, t in ASKED) + ") v(qid, text))"
+ASKED_SQL = "(SELECT conv_id || ':' || turn AS qid, text FROM conversations WHERE role = 'user' UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({_quoted([i])}, {_quoted([t])})" for i, t in ASKED) + ") v(qid, text))"
 USERS_SQL = "(SELECT conv_id, turn, text FROM conversations WHERE role = 'user')"
 
 
@@ -266,8 +267,7 @@ def eval_summary(spark, sf_dir):
 
 def eval_compare(spark, sf_dir):
     pairs = _pairs(spark, sf_dir).withColumn("prompt_id", F.concat_ws(":", "conv_id", "turn"))
-    base = pairs.filter("turn < 4").select("prompt_id", F.left("answer", F.lit(20)).alias("actual"))
-    tuned = pairs.filter("turn > 1").select("prompt_id", F.right("answer", F.lit(20)).alias("actual"))
+    base, tuned = pairs.select("prompt_id", F.col("answer").alias("actual")), pairs.filter(F.col("answer") != "").select("prompt_id", F.reverse("answer").alias("actual"))
     return training.compare(base, tuned, "prompt_id")
 
 
@@ -313,7 +313,6 @@ ORACLES = {
     "template_choice": "SELECT doc_id, ('0x' || left(sha256(doc_id::varchar), 8))::bigint % 7 AS choice FROM documents",
     "jaccard_pairs": f"SELECT conv_id, turn, {JACCARD} AS similarity FROM {PAIRS_SQL}",
     "eval_summary": f"SELECT count(*) AS total, count(*) FILTER (WHERE turn % 3 <> 2) AS successful, count(*) FILTER (WHERE turn % 3 = 2) AS failed, round(coalesce(avg({JACCARD}) FILTER (WHERE turn % 3 <> 2), 0), 6) AS mean_similarity FROM {PAIRS_SQL}",
-    "eval_compare": f"""SELECT coalesce(b.p, t.p) AS prompt_id, b.a AS base, t.a AS tuned FROM (SELECT conv_id || ':' || turn AS p, left(answer, 20) AS a FROM {PAIRS_SQL} WHERE turn < 4) b
-FULL OUTER JOIN (SELECT conv_id || ':' || turn AS p, right(answer, 20) AS a FROM {PAIRS_SQL} WHERE turn > 1) t ON b.p = t.p""",
+    "eval_compare": f"SELECT conv_id || ':' || turn AS prompt_id, answer AS base, CASE WHEN answer <> '' THEN reverse(answer) END AS tuned FROM {PAIRS_SQL}",
     "file_figures": f"SELECT count(*) AS examples, floor(sum(strlen(line) + 1) / 4.0)::bigint AS tokens FROM ({CHAT_SQL})",
 }
