@@ -88,7 +88,8 @@ def labelled_words(sentences: int = 600, seed: int = 11) -> list[list[tuple[str,
 
     def phone() -> list[str]:
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{digits(1)}", f"({a})", f"{b}-{c}"], [f"0{digits(3)}", f"{digits(7)}"], [f"+{digits(2)}", a, b, c], [f"0{digits(2)}/{digits(7)}"], [f"({a})", b, c])
+        return pick([f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{digits(1)}", f"({a})", f"{b}-{c}"], [f"0{digits(3)}", f"{digits(7)}"], [f"+{digits(2)}", a, b, c], [f"0{digits(2)}/{digits(7)}"], [f"({a})", b, c],
+            [f"0{digits(4)}", digits(6)], [f"0{digits(3)}", digits(3), digits(4)], [f"0{digits(2)}", digits(4), digits(4)], [f"+{digits(2)}", digits(2), digits(4), digits(4)], [f"(0{digits(3)})", digits(6)], [f"+{digits(2)}", digits(3), digits(7)])
 
     def email() -> list[str]:
         n, h, t = letters(rng.integers(1, 9)), letters(rng.integers(2, 9)), pick("com", "org", "net", "de", "example")
@@ -104,7 +105,7 @@ def labelled_words(sentences: int = 600, seed: int = 11) -> list[list[tuple[str,
         return pick(
             [digits(rng.integers(1, 6))], [f"{digits(1)}.{digits(1)}"], [f"{rng.integers(1900, 2099)}"], [f"{rng.integers(1990, 2030)}-0{rng.integers(1, 9)}-{rng.integers(10, 28)}"], [f"{rng.integers(0, 24)}:{rng.integers(10, 59)}"],
             ["token", "=", '"' + "".join(f"{x:x}" for x in rng.integers(0, 16, 40)) + '"'], [f"{digits(2)}%"], [f"v{digits(1)}.{digits(2)}.{digits(1)}"], [f"${digits(3)}.{digits(2)}"], [f"({letters(4)})"], [f"({digits(1)})"], [f"[{digits(2)}]"],
-            ["+", digits(2)], [f"{letters(3)}+{letters(3)}"], [f"@{letters(6)}"], [f"{digits(3)},{digits(3)}"], ["ISBN", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"], ["order", digits(8)], [f"{digits(1)}.{digits(1)}.{digits(1)}"], [letters(4) + digits(2)], [digits(22)], ["version", digits(1) + "."], ["C++"], [f"{digits(2)}-{digits(2)}"],
+            ["+", digits(2)], [f"{letters(3)}+{letters(3)}"], [f"@{letters(6)}"], [f"{digits(3)},{digits(3)}"], ["ISBN", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"], ["order", digits(8)], [f"{digits(1)}.{digits(1)}.{digits(1)}"], [letters(4) + digits(2)], [digits(22)], [f"1{digits(12)}"], [digits(14)], [f"1Z{digits(3)}{letters(2).upper()}{digits(11)}"], ["x", "=", f"{digits(1)}.{digits(5)}"], [f"{digits(2)}-{digits(2)},", f"{digits(2)}-{digits(2)},"], [f"{digits(4)}-{digits(4)}"], [digits(5)], [f"[{digits(1)}]"], [f"{digits(2)}/{digits(2)}"], ["version", digits(1) + "."], ["C++"], [f"{digits(2)}-{digits(2)}"],
         )
 
     makers = {"phone": phone, "email": email, "card": card, "ip": ip, "outside": other}
@@ -151,7 +152,7 @@ def word_features(word: str) -> list[str]:
     body = word.rstrip(".,;:!?*$#&%")
     long, short = shape(body)
     n = sum("0" <= c <= "9" for c in body)
-    size = str(n) if n < 5 else "5-6" if n < 7 else "7-9" if n < 10 else "10-12" if n < 13 else "13-19" if n < 20 else "20+"
+    size = str(n) if n < 5 else "5-6" if n < 7 else "7-9" if n < 10 else "10-12" if n < 13 else "13-14" if n < 15 else "15-16" if n < 17 else "17-19" if n < 20 else "20+"
     kinds = "".join(sorted({k if k in "9Aa" else c for k, c in zip(short, short, strict=True)}))
     out = [f"long={long}", f"short={short}", f"digits={size}", f"kinds={kinds}", f"digits+kinds={size}{kinds}", f"tail={word[len(body) : len(body) + 1]}"]
     if "@" in body:
