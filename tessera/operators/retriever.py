@@ -262,7 +262,7 @@ def prepare(spark: SparkSession, folder: str, out: str, strategy: str, share: fl
     types = code.java_types(files.relative(files.java_files(spark, folder), folder), max_lines=500).filter("parent = -1")
     rows = checkpointed(training.split(checkpointed(strategies.convert(types, strategy)), "id", share, most))
     for part in ("train", "validation"):
-        files.write_jsonl(rows.filter(F.col("split") == part), "line", f"{out.rstrip('/')}/{part}")
+        files.write_jsonl(training.shuffled(rows.filter(F.col("split") == part), "id", part), "line", f"{out.rstrip('/')}/{part}")
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -279,7 +279,7 @@ def prepare_templates(spark: SparkSession, folder: str, template_folder: str, ou
     rows = examples.select(key.alias("id"), "part", training.chat_record(F.lit(strategies.INSTRUCTIONS["template_generation"]), F.col("user_prompt"), F.col("model_response")).alias("line"))
     rows = checkpointed(training.split(checkpointed(rows), "id", share, None))
     for part in ("train", "validation"):
-        files.write_jsonl(rows.filter(F.col("split") == part), "line", f"{out.rstrip('/')}/{part}")
+        files.write_jsonl(training.shuffled(rows.filter(F.col("split") == part), "id", part), "line", f"{out.rstrip('/')}/{part}")
     return rows.groupBy("split", "part").agg(F.count(F.lit(1)).alias("n"))
 
 

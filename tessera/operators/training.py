@@ -35,6 +35,11 @@ def sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return rows.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key).limit(n)
 
 
+def shuffled(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """All rows in an order that looks random and is the same for the same seed: a range sort by a hash."""
+    return rows.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key)
+
+
 def chat_record(system: Column, user: Column, model: Column) -> Column:
     """The JSON line of an example."""
     part = lambda role, text: F.struct(F.lit(role).alias("role"), F.array(F.struct(text.alias("text"))).alias("parts"))

@@ -131,6 +131,12 @@ def question_analysis(spark, sf_dir):
     return out.select("qid", "intent", "classes", "methods", "terms", "r.*")
 
 
+def question_language(spark, sf_dir):
+    """The language that a question names, and whether it asks for a list of classes."""
+    text = F.col("text")
+    return asked(spark, sf_dir).select("qid", analyze.asked_language(text).alias("language"), analyze.asks_for_class_list(text).alias("lists"))
+
+
 def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -245,6 +251,10 @@ def sample_rows(spark, sf_dir):
     return training.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 25, "seed1")
 
 
+def shuffle_rows(spark, sf_dir):
+    return training.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "seed1")
+
+
 def template_choice(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hash_choice(F.col("doc_id").cast("string"), 7).alias("choice"))
 
@@ -280,8 +290,8 @@ JACCARD = f"round(CASE WHEN len(list_distinct(list_concat({WORDS('prompt')}, {WO
 
 QUERIES = {f.__name__: f for f in (
     line_chunks, section_split, token_estimates, oversize_report, oversize_largest, batch_pack, embedding_texts, chunk_ids,
-    intent_classify, query_recommend, primary_terms, search_keywords, term_expand, question_analysis, history_window, history_trim, enhanced_question,
-    json_keys, json_explode, json_path, chat_format, chat_parse, train_val_split, split_stats, sample_rows, template_choice, jaccard_pairs, eval_summary, eval_compare, file_figures,
+    intent_classify, query_recommend, primary_terms, search_keywords, term_expand, question_analysis, question_language, history_window, history_trim, enhanced_question,
+    json_keys, json_explode, json_path, chat_format, chat_parse, train_val_split, split_stats, sample_rows, shuffle_rows, template_choice, jaccard_pairs, eval_summary, eval_compare, file_figures,
 )}
 
 ORACLES = {
@@ -299,6 +309,8 @@ ORACLES = {
     "search_keywords": KEYWORD_LIST_SQL,
     "term_expand": EXPAND_SQL,
     "question_analysis": f"SELECT qid, intent, array_to_string(classes, ',') AS classes, array_to_string(methods, ',') AS methods, array_to_string(terms, ',') AS terms, {RECOMMEND} FROM {ASKED_NAMES}",
+    "question_language": f"""SELECT qid, CASE {" ".join(f"WHEN contains(lower(text), '{x}') THEN '{x}'" for x in ("java", "python", "javascript", "typescript"))} END AS language,
+  ({" OR ".join(f"contains(lower(text), '{x}')" for x in V.CLASS_LIST_PHRASES)}) AND contains(lower(text), 'class') AS lists FROM {ASKED_SQL}""",
     "history_window": f"SELECT conv_id, turn, history FROM ({HISTORY_SQL})",
     "history_trim": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations) WHERE b <= 4",
     "enhanced_question": f"SELECT conv_id, turn, CASE WHEN history = '' THEN text ELSE 'Previous conversation:' || chr(10) || history || chr(10) || chr(10) || 'Current question: ' || text END AS question FROM ({HISTORY_SQL}) WHERE role = 'user'",
@@ -310,6 +322,7 @@ ORACLES = {
     "train_val_split": SPLIT_SQL,
     "split_stats": f"SELECT split, count(*) AS n FROM ({SPLIT_SQL}) GROUP BY split",
     "sample_rows": "SELECT doc_id, lang FROM documents ORDER BY sha256('seed1' || doc_id), doc_id LIMIT 25",
+    "shuffle_rows": "SELECT doc_id, lang FROM documents ORDER BY sha256('seed1' || doc_id), doc_id",
     "template_choice": "SELECT doc_id, ('0x' || left(sha256(doc_id::varchar), 8))::bigint % 7 AS choice FROM documents",
     "jaccard_pairs": f"SELECT conv_id, turn, {JACCARD} AS similarity FROM {PAIRS_SQL}",
     "eval_summary": f"SELECT count(*) AS total, count(*) FILTER (WHERE turn % 3 <> 2) AS successful, count(*) FILTER (WHERE turn % 3 = 2) AS failed, round(coalesce(avg({JACCARD}) FILTER (WHERE turn % 3 <> 2), 0), 6) AS mean_similarity FROM {PAIRS_SQL}",

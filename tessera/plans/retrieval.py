@@ -229,6 +229,17 @@ def chunks_of_group(spark, sf_dir):
     return store.chunks_of_class(chunks(spark, sf_dir).withColumn("start_line", F.col("id")), PREFIX).select("id", "language", F.col("start_line").alias("line"))
 
 
+def names_by_language(spark, sf_dir):
+    found = store.names_by(chunks(spark, sf_dir).withColumn("class_name", F.concat_ws("/", "class_name", "id")), "language")
+    return found.select("group", "n", F.array_join("first", ",").alias("first"))
+
+
+def chunks_like(spark, sf_dir):
+    """Documents with "rc1" in their source; the language stands for the type, and the metadata name the source as parent."""
+    rows = chunks(spark, sf_dir).withColumn("chunk_type", F.col("language")).withColumn("metadata", F.to_json(F.struct(F.col("file_path").alias("parent_class"))))
+    return store.chunks_like(rows, "rc1").select("id", "chunk_type", "size", "parent_class")
+
+
 def prefix_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.startswith("source", F.lit(PREFIX))).select("doc_id", "source")
 
@@ -256,7 +267,7 @@ FROM documents GROUP BY GROUPING SETS ((lang), (source), ())"""
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_label, vector_threshold, vector_topk_many, vector_language, ann_cells, keyword_search, keyword_language, keyword_documentation_only,
     hybrid_rrf, rrf_boosted, rrf_pinned, references_count, reference_search, known_classes_of, dependency_expand, class_context, context_build,
-    stats_combined, stats_language, stats_source, stats_distinct, list_sorted, chunks_of_group, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge,
+    stats_combined, stats_language, stats_source, stats_distinct, list_sorted, chunks_of_group, names_by_language, chunks_like, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge,
 )}
 
 ORACLES = {
@@ -283,6 +294,9 @@ ORACLES = {
     "stats_distinct": "SELECT count(*) AS n, count(DISTINCT source) AS files, count(*) FILTER (WHERE lang = 'en') AS english FROM documents",
     "list_sorted": "SELECT lang, source, doc_id FROM documents ORDER BY ALL",
     "chunks_of_group": f"SELECT doc_id AS id, lang AS language, doc_id AS line FROM documents WHERE source = '{PREFIX}'",
+    "names_by_language": """SELECT "group", max(total) AS n, string_agg(name, ',' ORDER BY place) AS first FROM (
+  SELECT lang AS "group", source || '/' || doc_id AS name, row_number() OVER (PARTITION BY lang ORDER BY source || '/' || doc_id, doc_id) AS place, count(*) OVER (PARTITION BY lang) AS total FROM documents) WHERE place <= 100 GROUP BY "group\"""",
+    "chunks_like": "SELECT doc_id AS id, lang AS chunk_type, length(text) AS size, source AS parent_class FROM documents WHERE contains(source, 'rc1') ORDER BY lang, source, doc_id LIMIT 50",
     "prefix_filter": f"SELECT doc_id, source FROM documents WHERE starts_with(source, '{PREFIX}')",
     "delete_by_prefix": f"SELECT doc_id, source FROM documents WHERE NOT starts_with(source, '{PREFIX}')",
     "delete_by_file": f"SELECT doc_id, source FROM documents WHERE source <> '{PREFIX}'",
