@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import quality as q
+from tessera.llm import tokens
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,3 +68,47 @@ def test_rows(spark, model):
     assert all(0 < r.score < 1 for r in q.score(docs, one_class).collect())
     nothing = q.fit(docs.limit(0), labels.limit(0))
     assert q.score(docs, nothing).count() == len(rows)
+
+
+def plain_hash(word: bytes) -> int:
+    """The hash of a word, byte by byte."""
+    total = sum(int(tokens._BYTE[c]) * int(tokens._PLACE[i & 63]) for i, c in enumerate(word)) + len(word)
+    return plain_mix(total % 2**64)
+
+
+def plain_mix(h: int) -> int:
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD % 2**64
+    return (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+
+
+def plain_features(text: bytes) -> list[int]:
+    """Words, pairs of words, and shapes of one to three words, one at a time."""
+    words = text.split()
+    is_word = lambda c: 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127
+    keys, shapes, hashes, prime = [], [], [plain_hash(w) for w in words], 0x9E3779B97F4A7C15
+    for i, w in enumerate(words):
+        upper, lower, high = sum(65 <= c <= 90 for c in w), sum(97 <= c <= 122 for c in w), sum(c > 127 for c in w)
+        case = 0 if not upper + lower + high else 1 if not upper else 3 if not lower and upper > 1 else 2 if upper == 1 else 4
+        begin, tail = (0 if is_word(c) else c for c in (w[0], w[-1]))
+        tail2 = 0 if len(w) < 2 or is_word(w[-2]) else w[-2]
+        repeat = i > 0 and hashes[i] == hashes[i - 1]
+        shapes.append(plain_mix((((((case * 256 + begin) * 256 + tail) * 256 + tail2) * 2 + any(48 <= c <= 57 for c in w)) * 2 + repeat) + 1))
+        keys += [hashes[i], shapes[i]]
+        if i > 0:
+            keys += [plain_mix((shapes[i - 1] * prime + shapes[i]) % 2**64), plain_mix((hashes[i - 1] * prime + hashes[i] + 7) % 2**64)]
+        if i > 1:
+            keys.append(plain_mix(((shapes[i - 2] * prime + shapes[i - 1]) * prime + shapes[i]) % 2**64))
+    return sorted({0} | {1 + k % ((1 << q.BITS) - 1) for k in keys})
+
+
+def test_features_and_scores_equal_a_plain_version(tables, model):
+    texts = [b"The cat sat.", b"", b"WORD!! WORD!! word!!", "é ü | ñ9 | ß |".encode(), b"a a a a", b" \n x", b"one", b"Ab1; -- (c)"] + [(r.text or "").encode()[:3000] for r in tables[0].limit(40).collect()]
+    at = np.cumsum([0, *map(len, texts)])
+    feature, first = q.features(np.frombuffer(b"".join(texts), np.uint8), at)
+    scores = model.scores(np.frombuffer(b"".join(texts), np.uint8), at)
+    for i, t in enumerate(texts):
+        plain = plain_features(t)
+        assert feature[first[i] : first[i + 1]].tolist() == plain
+        x = model.scale[plain]
+        z = model.slope * float((x * model.weight[plain]).sum() / np.sqrt((x * x).sum())) + model.shift
+        assert abs(scores[i] - 1 / (1 + np.exp(-z))) < 1e-9
