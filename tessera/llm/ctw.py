@@ -262,7 +262,7 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
     return [(code[first], np.add.reduceat(n, first))]
 
 
-def gram_counts(plain: DataFrame, depth: int, most: int = 4_000_000) -> DataFrame:
+def gram_counts(plain: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
     """gram, n, train of each different gram of all texts. plain: text, learn (whether it is a training text)."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +289,8 @@ def gram_counts(plain: DataFrame, depth: int, most: int = 4_000_000) -> DataFram
             yield rows()
 
     coded = plain.select(F.col("text"), F.col("learn")).mapInArrow(out, "code long, n long")
-    return coded.groupBy(F.shiftright("code", 1).alias("gram")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("code") % 2)).alias("train"))
+    # tasks have added their counts up already: a second time before the shuffle would only take memory
+    return coded.withColumn("gram", F.shiftright("code", 1)).repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("code") % 2)).alias("train"))
 
 
 class Lookup:
