@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, fold, steps, texts, with_row_id, written
 
-#: Bytes of context; a gram of 7 bytes is a positive long with room for a flag.
-DEPTH = 6
+#: Bytes of context, and the most that there may be: a gram of 7 bytes is a positive long with room for a flag.
+DEPTH, MAX_DEPTH = 5, 6
 #: Levels that are worked on inside of a slice, beside its own.
 SPAN = 2
 HEAD_BITS = 21
@@ -289,8 +289,7 @@ def gram_counts(plain: DataFrame, depth: int, most: int = 2_000_000) -> DataFram
             yield rows()
 
     coded = plain.select(F.col("text"), F.col("learn")).mapInArrow(out, "code long, n long")
-    # tasks have added their counts up already: a second time before the shuffle would only take memory
-    return coded.withColumn("gram", F.shiftright("code", 1)).repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("code") % 2)).alias("train"))
+    return coded.groupBy(F.shiftright("code", 1).alias("gram")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("code") % 2)).alias("train"))
 
 
 class Lookup:
@@ -381,8 +380,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     Learns from rows outside the held-out fold. Null is the empty text, which has its end alone; a null id is in the fold
     of the empty string. Without training rows all bytes are equally likely. Further columns are not looked at."""
-    if not 1 <= depth <= DEPTH:
-        raise ValueError(f"depth must be between 1 and {DEPTH}")
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be between 1 and {MAX_DEPTH}")
     sc = docs.sparkSession.sparkContext
     held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -142,11 +142,11 @@ def test_whole_table_against_one_tree(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     wanted = sorted((d, round(s, 5)) for (d, _), s in zip(rows, plain_scores(rows, 6), strict=True))
-    first = {r.doc_id: r for r in ctw.score(docs).collect()}
+    first = {r.doc_id: r for r in ctw.score(docs, depth=6).collect()}
     assert sorted((r.doc_id, round(r.score, 5)) for r in first.values()) == wanted
     held = [r for r in first.values() if r.held_out]
     assert sum(r.score for r in held) > -87_100
-    for r in ctw.score(docs.repartition(7), head_bits=9, word_bits=6).collect():
+    for r in ctw.score(docs.repartition(7), depth=6, head_bits=9, word_bits=6).collect():
         assert abs(r.score - first[r.doc_id].score) < 1e-6 and abs(r.base_score - first[r.doc_id].base_score) < 1e-6 and r.n_known == first[r.doc_id].n_known
 
 
