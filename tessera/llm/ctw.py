@@ -37,13 +37,13 @@ from tessera.llm.common import checkpoint, fold, steps, texts, with_row_id, writ
 DEPTH, MAX_DEPTH = 5, 6
 #: Levels that are worked on inside of a slice, beside its own.
 SPAN = 2
-HEAD_BITS = 21
-WORD_BITS = 19
+HEAD_BITS = 20
+WORD_BITS = 18
 FOLDS, HELD_OUT = 5, 1
 #: Closes a text and stands before it; no UTF-8 text has it.
 END = 0xFF
 #: Places of a stream that are worked on at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
 #: Different words that a counting task gathers before it sends them on.
 GATHERED = 300_000
 #: Grams of whole slices that are worked on at once, about.
@@ -400,15 +400,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
         (places, second, logs), lookup = words.value, grams.value
         unknown = float(np.log10(0.5 / bottom))
         for b in batches:
-            parts, counts_of = [], []
+            parts, keys, ns, sizes = [], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], []
             for t in texts(b.column(2)):
                 own = words_of(t)
-                counts_of.append(Counter(own))
-                counts_of[-1][END_WORD] += 1
+                count = Counter(own)
+                count[END_WORD] += 1
+                keys.append(word_keys(count))
+                ns.append(np.fromiter(count.values(), np.int64, len(count)))
+                sizes.append(len(count))
                 parts.append(b" ".join(own))
-            key = word_keys(w for c in counts_of for w in c)
-            n = np.fromiter((k for c in counts_of for k in c.values()), np.int64, len(key))
-            row = np.repeat(np.arange(len(parts)), [len(c) for c in counts_of])
+            key, n, row = np.concatenate(keys), np.concatenate(ns), np.repeat(np.arange(len(parts)), np.array(sizes, np.int64))
             at = places.get(np.ascontiguousarray(key[:, 0]))[0].astype(np.int64)  # 0: not there
             known = (at > 0) & (second[at] == key[:, 1])
             n_tokens, n_known = (np.bincount(row, x, len(parts)).astype(np.int64) for x in (n, n * known))
