@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontaminate, exact_dedup, licenses, packing, pii, quality, secrets, simhash, token_counts
+from tessera.llm import ctw, decontaminate, exact_dedup, importance, licenses, packing, pii, quality, secrets, simhash, token_counts
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -114,6 +114,40 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
+
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by importance towards the benchmark, on single words. A row for each row of documents; null has no words; a null id comes last in ties."""
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), most_words=1)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = f"""
+WITH step AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS t FROM range(256) r(b)
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), dw AS (SELECT rid, unnest(w) AS word FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+v AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+c AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+                               lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)])), 4294967295) % 10000 AS bucket
+  FROM v, step
+), s AS (SELECT bucket, count(*) AS n FROM dw JOIN c USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bw JOIN c USING (word) GROUP BY bucket),
+g AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+                                        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM c) b LEFT JOIN s ON s.bucket = b.bucket LEFT JOIN t ON t.bucket = b.bucket
+), f AS (SELECT rid, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY rid),
+z AS (
+  SELECT rid, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN f USING (rid)
+), r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, rid) AS place, 10 * count(*) OVER () // 100 AS wanted FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank FROM z LEFT JOIN r USING (rid)
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ctw": op2_ctw,
@@ -125,9 +159,11 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
+    "op11_importance": op11_importance,
 }
 
 ORACLES = {
     "op8_decontaminate": OP8_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_importance": OP11_SQL,
 }
