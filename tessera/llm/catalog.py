@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ctw, decontaminate, exact_dedup, importance, licenses, packing, pii, quality, secrets, simhash, token_counts
+from tessera.llm import bpe, ctw, decontaminate, exact_dedup, importance, licenses, packing, pii, quality, secrets, simhash, token_counts
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
@@ -148,6 +149,12 @@ z AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= wanted THEN place END AS rank FROM z LEFT JOIN r USING (rid)
 """
 
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents by a byte-level vocabulary, and what they decode to. A row for each row of documents; null text is empty."""
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).drop("rid")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ctw": op2_ctw,
@@ -160,6 +167,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
     "op11_importance": op11_importance,
+    "op12_bpe": op12_bpe,
 }
 
 ORACLES = {
