@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, ctw, decontaminate, exact_dedup, importance, licenses, packing, pii, quality, secrets, simhash, token_counts
+from tessera.llm import bpe, ctw, decontaminate, exact_dedup, importance, licenses, packing, pii, quality, repair, secrets, simhash, token_counts
 from tessera.llm.common import fold, read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -155,6 +155,66 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)).drop("rid")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repairs of all conversations after the stated damage. A row for each conversation id of the table, null included."""
+    return repair.repair_damaged(read(spark, sf_dir, "conversations"))
+
+
+def _edit(way: str, cost: str, letter: str, when: str = "true") -> str:
+    """SQL of a way (six digits of cost, then the audit; '~' if there is none) with one more edit."""
+    return f"CASE WHEN {way} = '~' OR NOT ({when}) THEN '~' ELSE lpad(CAST(CAST({way}[1:6] AS INTEGER) + {cost} AS VARCHAR), 6, '0') || {way}[7:] || '{letter}' END"
+
+
+_FIT, _LATE = "x[3] IN ('n', 't')", "CASE x[3] WHEN 't' THEN 5 ELSE 0 END"
+_DELETED = [_edit(f"a[{q}]", "2", "D") for q in (1, 2, 3, 4)]
+_KEPT = {(q, r): _edit(f"a[{q}]", _LATE, "K", f"{_FIT} AND x[2] = '{r}'") for q, r in ((1, "s"), (1, "u"), (2, "u"), (4, "u"), (3, "a"))}
+_NAMED = {q: _edit(f"a[{q}]", f"1 + {_LATE}", "R", _FIT) for q in (1, 2, 3, 4)}
+_ADDED = {q: _edit(f"a[{q}]", "5", "I") for q in (1, 2, 3, 4)}
+OP13_SQL = f"""
+WITH step AS (
+  SELECT list(list_reduce(list_concat([b], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS t FROM range(256) r(b)
+), o AS (
+  SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations
+), k AS (
+  SELECT rid, conv_id, turn, role, text, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+                                             lambda a, y: xor(a >> 8, t[1 + (xor(a, y) & 255)])), 4294967295) % 20 AS kind FROM o, step
+), r AS (
+  SELECT rid, 0 AS copy, conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM k WHERE kind <> 0
+  UNION ALL SELECT rid, 1, conv_id, turn, role, text FROM k WHERE kind = 3
+), f AS (
+  SELECT *, role[1:1] AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, rid, copy) AS n,
+         lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, rid, copy) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE 'n' END AS fault FROM r
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+         flatten(list([['I'], ['I'], ['R', i, fault]] ORDER BY n)) AS steps FROM f GROUP BY conv_id
+), w AS (
+  SELECT *, list_reduce(list_concat([['000000', '~', '~', '~']], steps, [['I'], ['I']]), lambda a, x: CASE x[1]
+    WHEN 'I' THEN [a[1], a[2], least(a[3], {_ADDED[1]}, {_ADDED[2]}, {_ADDED[4]}), least(a[4], {_ADDED[3]})]
+    ELSE [{_DELETED[0]}, least({_DELETED[1]}, {_KEPT[1, "s"]}),
+          least({_DELETED[2]}, {_KEPT[1, "u"]}, {_KEPT[2, "u"]}, {_KEPT[4, "u"]}, {_NAMED[1]}, {_NAMED[2]}, {_NAMED[4]}),
+          least({_DELETED[3]}, {_KEPT[3, "a"]}, {_NAMED[3]})] END) AS ways FROM c
+), b AS (SELECT *, least(ways[1], ways[4]) AS best FROM w),
+e AS (SELECT conv_id, best[7:] AS audit, unnest(range(1, len(best) - 5)) AS p FROM b),
+l AS (
+  SELECT conv_id, p, audit[p] AS letter, count(*) FILTER (audit[p] <> 'I') OVER z AS n, count(*) FILTER (audit[p] <> 'D') OVER z AS place
+  FROM e WINDOW z AS (PARTITION BY conv_id ORDER BY p)
+), m AS (
+  SELECT l.conv_id, p, letter, place, role, CASE letter WHEN 'I' THEN '' ELSE text END AS text,
+         max(CASE WHEN place = 1 AND letter = 'K' AND i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS system
+  FROM l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.n = l.n WHERE letter <> 'D'
+), t AS (
+  SELECT conv_id, sha256(string_agg(CASE letter WHEN 'K' THEN role ELSE CASE (place - system) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || text, chr(10) ORDER BY p)) AS sha FROM m GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(best[1:6] AS BIGINT), 0) AS cost, coalesce(best[7:], '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ctw": op2_ctw,
@@ -168,10 +228,12 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_importance": op11_importance,
     "op12_bpe": op12_bpe,
+    "op13_repair": op13_repair,
 }
 
 ORACLES = {
     "op8_decontaminate": OP8_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op11_importance": OP11_SQL,
+    "op13_repair": OP13_SQL,
 }
