@@ -1,12 +1,11 @@
 """The chunk table: upsert, delete, lookups, statistics, and an approximate vector index.
 
-A store is a folder with one Parquet version per change and a pointer to the current one, so a path being read is never
-overwritten. The functions on DataFrames below are what the store applies.
+A store is a stack of Parquet layers and a log of versions, so a path being read is never overwritten and a change costs its
+own rows. The functions on DataFrames do the same to a whole table.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpointed
+from tessera.operators.layers import LayeredTable, Version
+from tessera.session import bounded, checkpointed
 
 CHUNK_SCHEMA = (
     "id string, content string, embedding array<float>, language string, chunk_type string, file_path string, start_line int, end_line int, "
@@ -25,9 +25,14 @@ CHUNK_SCHEMA = (
 )
 
 
+def latest(new: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """The last row of each key by ``order``, without that column."""
+    return new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n", order)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str = "seq", created: str | None = "created_at") -> DataFrame:
     """old without the keys of new, and for each key of new its last row by ``order``, which keeps the old creation time."""
-    last = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n", order)
+    last = latest(new, key, order)
     kept = old.join(last.select(key), key, "left_anti")
     if created and created in old.columns:
         first = old.select(key, F.col(created).alias("__created"))
@@ -92,56 +97,67 @@ def known_classes(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkStore:
-    """Chunks under ``path``: versions of Parquet partitioned by language and chunk_type, and a table of versions."""
+    """Chunks under ``path``, in layers: a change writes its own rows and the ids that it takes away, see ``LayeredTable``."""
 
-    def __init__(self, spark: SparkSession, path: str, dims: int = 768):
+    def __init__(self, spark: SparkSession, path: str, dims: int = 768, buckets: int = 16):
         self.spark, self.path, self.dims = spark, path.rstrip("/"), dims
+        self.table = LayeredTable(spark, path, CHUNK_SCHEMA, partition=("language", "chunk_type"), sort=("file_path", "start_line", "id"), looked_up=("id", "class_name"), buckets=buckets)
 
     def create(self) -> None:
-        self._write(self.spark.createDataFrame([], CHUNK_SCHEMA), 0)
-
-    def _versions(self) -> DataFrame:
-        return self.spark.read.schema("n long, name string").parquet(f"{self.path}/versions")
+        """An empty store, whatever was there; older versions stay until ``vacuum``."""
+        self.table.reset()
 
-    def _current(self) -> tuple[int, str]:
-        row = self._versions().orderBy(F.desc("n")).first()
-        return row.n, row.name
+    def read(self, version: int | None = None) -> DataFrame:
+        return self.table.read(version)
 
-    def _write(self, chunks: DataFrame, n: int) -> None:
-        name = f"v{n}-{uuid.uuid4().hex[:8]}"
-        chunks.write.partitionBy("language", "chunk_type").parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(n, name)], "n long, name string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+    def lookup(self, ids: list[str]) -> DataFrame:
+        """The chunks of some ids."""
+        return self.table.lookup(ids)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(CHUNK_SCHEMA).parquet(f"{self.path}/{self._current()[1]}")
+    def version(self) -> Version:
+        """What a change can name as the version that it was made from."""
+        return self.table.version()
 
-    def upsert(self, chunks: DataFrame) -> None:
-        """chunks: the schema and ``seq``; a later row of an id wins. Embeddings of another width are an error."""
+    def upsert(self, chunks: DataFrame, since: Version | None = None) -> int:
+        """chunks: the schema and ``seq``; a later row of an id wins and keeps the old creation time. The number of ids.
+        Embeddings of another width and null ids are errors; so is a version that another writer has made since ``since``."""
+        since = self.version() if since is None else since
         wrong = F.raise_error(F.lit(f"embedding without {self.dims} dimensions"))
         checked = chunks.withColumn("embedding", F.when(F.coalesce(F.size("embedding") == self.dims, F.lit(True)), F.col("embedding")).otherwise(wrong))
+        checked = checked.withColumn("id", F.coalesce("id", F.raise_error(F.lit("chunk without an id"))))
         checked = checked.withColumn("references", F.when(F.size("references") > 0, F.col("references"))).withColumn("metadata", F.nullif("metadata", F.lit("{}")))
-        self._write(upsert(self.read(), checked.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))), self._current()[0] + 1)
+        last = latest(checked.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())))
+        ids = checkpointed(last.select("id"))
+        # of the old rows only ids and times are read, and of those only what the change replaces goes on
+        first = self.table.read(since.n).select("id", F.col("created_at").alias("__created")).join(bounded(ids), "id", "left_semi")
+        last = last.join(first, "id", "left").withColumn("created_at", F.coalesce("__created", "created_at")).drop("__created")
+        return self.table.change(last, ids, since).rows
 
-    def _delete(self, kept: DataFrame) -> int:
-        before = self.read().count()
-        self._write(kept, self._current()[0] + 1)
-        return before - self.read().count()
+    def _delete(self, gone: DataFrame, since: Version) -> int:
+        return self.table.change(None, gone.select("id"), since).gone
 
     def delete_by_file(self, path: str) -> int:
         """The number of chunks that are gone."""
-        return self._delete(delete_by_file(self.read(), path))
+        since = self.version()
+        return self._delete(self.table.read(since.n).filter(F.col("file_path") == path), since)
 
     def delete_by_prefix(self, prefix: str) -> int:
-        """The number of chunks that are gone."""
-        return self._delete(delete_by_prefix(self.read(), prefix))
+        """The number of chunks that are gone. The prefix is taken literally."""
+        since = self.version()
+        return self._delete(self.table.read(since.n).filter(F.startswith("file_path", F.lit(prefix))), since)
+
+    def compact(self) -> None:
+        self.table.compact()
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        return self.table.vacuum(keep)
 
     def is_empty(self) -> bool:
         return self.read().isEmpty()
 
     def drop(self) -> None:
         """Removes the folder with all versions; nothing happens if it is not there."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.table.drop()
 
 
 # --- approximate index ---------------------------------------------------------------------------------------------------

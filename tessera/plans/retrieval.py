@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import pascal_names
 from tessera.operators import search, store
-from tessera.session import checkpointed
+from tessera.operators.cell_index import CellIndex
+from tessera.operators.gram_index import GramIndex
+from tessera.session import checkpointed, scratch
 
 K = 10
 KEYWORDS = ["token", "license", "src1", "thing"]
@@ -87,6 +89,20 @@ def ann_cells(spark, sf_dir):
     return exact.join(near, ["qid", "id"], "left").select("qid", "id", "similarity", "rank", F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def ann_stored(spark, sf_dir):
+    """A kept index, made from nine tenths of the vectors and added the others without a new fit, asked for every row whose id
+    is divisible by 50: the exact 10 nearest, and whether the index finds nine tenths of them or more."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.filter(F.col("vec_id") % 50 == 0).select("vec_id", "embedding")
+    index = CellIndex(spark, scratch(spark, "cells"))
+    index.create(v.filter(F.col("vec_id") % 10 != 3))
+    index.add(v.filter(F.col("vec_id") % 10 == 3))
+    near = index.search(asked, K).select("qid", "id", F.lit(1).alias("found"))
+    exact = checkpointed(search.vector_topk_many(v, asked, K))
+    recall = exact.join(near, ["qid", "id"], "left").agg((F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recalled"))
+    return exact.crossJoin(F.broadcast(recall)).select("qid", "id", "similarity", "rank", "recalled")
+
+
 def _cosine_sql(where: str = "", k: int = K) -> str:
     return f"""SELECT e.vec_id AS id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) AS similarity
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {QUESTION_ID}) q {where} ORDER BY similarity DESC, id LIMIT {k}"""
@@ -104,6 +120,13 @@ def keyword_search(spark, sf_dir):
     return search.keyword_search(chunks(spark, sf_dir), KEYWORDS, 20)
 
 
+def keyword_indexed(spark, sf_dir):
+    """The same by an index of character grams."""
+    index = GramIndex(spark, scratch(spark, "grams"))
+    index.add(chunks(spark, sf_dir))
+    return index.keyword_search(KEYWORDS, 20)
+
+
 def keyword_language(spark, sf_dir):
     return search.keyword_search(chunks(spark, sf_dir).filter("language = 'de'"), KEYWORDS, 20)
 
@@ -260,14 +283,32 @@ def upsert_merge(spark, sf_dir):
     return store.upsert(old, new, created=None)
 
 
+def store_changes(spark, sf_dir):
+    """Documents in a store through a stack of changes: most of them, then every fifth anew or for the first time, without one
+    group of sources; and what is left after folding."""
+    whole = chunks(spark, sf_dir)
+    kinds = dict(x.split(" ") for x in store.CHUNK_SCHEMA.split(", "))
+    whole = whole.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in whole.columns})
+    whole = whole.withColumns({"id": F.col("id").cast("string"), "chunk_type": F.lit("document"), "seq": F.lit(1), "number": F.col("id")})
+    kept = store.ChunkStore(spark, scratch(spark, "chunks"))
+    kept.create()
+    kept.upsert(whole.filter("number % 10 <> 0").drop("number"))
+    kept.upsert(whole.filter("number % 5 = 0").withColumn("content", F.concat(F.lit("again "), "content")).drop("number"))
+    kept.delete_by_prefix(PREFIX)
+    kept.compact()
+    return kept.read().select("id", "language", "file_path", F.sha2("content", 256).alias("content_sha256"))
+
+
+STORE_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS id, lang AS language, source AS file_path, sha256(CASE WHEN doc_id % 5 = 0 THEN 'again ' || text ELSE text END) AS content_sha256
+FROM documents WHERE NOT starts_with(source, '{PREFIX}')"""
 UPSERT_SQL = """SELECT doc_id AS id, lang, CASE WHEN lang IN ('en', 'fr') AND n_chars % 2 = 0 THEN 'late' ELSE source END AS source, n_chars FROM documents"""
 STATS_SQL = """SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'total' END AS "grouping", coalesce(lang, source) AS value, count(*) AS n, count(DISTINCT source) AS files
 FROM documents GROUP BY GROUPING SETS ((lang), (source), ())"""
 
 QUERIES = {f.__name__: f for f in (
-    vector_topk, vector_topk_label, vector_threshold, vector_topk_many, vector_language, ann_cells, keyword_search, keyword_language, keyword_documentation_only,
+    vector_topk, vector_topk_label, vector_threshold, vector_topk_many, vector_language, ann_cells, ann_stored, keyword_search, keyword_indexed, keyword_language, keyword_documentation_only,
     hybrid_rrf, rrf_boosted, rrf_pinned, references_count, reference_search, known_classes_of, dependency_expand, class_context, context_build,
-    stats_combined, stats_language, stats_source, stats_distinct, list_sorted, chunks_of_group, names_by_language, chunks_like, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge,
+    stats_combined, stats_language, stats_source, stats_distinct, list_sorted, chunks_of_group, names_by_language, chunks_like, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge, store_changes,
 )}
 
 ORACLES = {
@@ -276,7 +317,9 @@ ORACLES = {
     "vector_threshold": f"SELECT * FROM ({_cosine_sql(k=50)}) WHERE similarity >= 0.3",
     "vector_topk_many": MANY_SQL,
     "vector_language": _cosine_sql("WHERE e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
+    "ann_stored": f"SELECT *, true AS recalled FROM ({MANY_SQL.replace('rank <= 5', f'rank <= {K}')})",
     "keyword_search": _keyword_sql(KEYWORDS),
+    "keyword_indexed": _keyword_sql(KEYWORDS),
     "keyword_language": _keyword_sql(KEYWORDS, "AND lang = 'de'"),
     "keyword_documentation_only": _keyword_sql(["fr"], positive=False),
     "hybrid_rrf": RRF_SQL,
@@ -301,4 +344,5 @@ ORACLES = {
     "delete_by_prefix": f"SELECT doc_id, source FROM documents WHERE NOT starts_with(source, '{PREFIX}')",
     "delete_by_file": f"SELECT doc_id, source FROM documents WHERE source <> '{PREFIX}'",
     "upsert_merge": UPSERT_SQL,
+    "store_changes": STORE_SQL,
 }
