@@ -16,7 +16,7 @@ from tessera.operators.chunking import truncated
 METHOD = "struct<name:string,return_type:string,parameters:array<struct<type:string,name:string>>,modifiers:array<string>,annotations:array<string>,documentation:string,body:string,start_line:int,end_line:int>"
 TYPES = (
     "path string, number int, parent int, depth int, name string, class_type string, package string, imports array<string>, modifiers array<string>, annotations array<string>, extends string, "
-    f"implements array<string>, documentation string, source_code string, start_line int, end_line int, fields array<struct<name:string,type:string,modifiers:array<string>>>, methods array<{METHOD}>"
+    f"implements array<string>, documentation string, source_code string, start_line int, end_line int, problems int, fields array<struct<name:string,type:string,modifiers:array<string>>>, methods array<{METHOD}>"
 )
 
 # Imports of these packages are no references.
@@ -48,13 +48,14 @@ def java_types(files: DataFrame, max_lines: int = 10_000, include_private: bool
     """files: path, text. All types of each file; inner ones have the number of their parent. Longer files are left out. Without
     comments there is no documentation of types and methods, without imports their list is empty.
 
-    The scanner reads declarations by their marks and braces, so a file with a syntax error still gives the types around it."""
+    The scanner reads declarations by their marks and braces, so a file with a syntax error still gives the types around it;
+    ``problems`` counts the braces of the file that had to be taken for strays or for missing."""
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in TYPES.split(", ") if " " in c and ":" not in c.split()[0]]
         for b in batches:
             rows = [{"path": p, "number": i, **t} for p, text in zip(b["path"], b["text"], strict=True) for i, t in enumerate(java.types_of(text))]
-            yield pd.DataFrame(rows, columns=[*names[:16], "fields", "methods"])
+            yield pd.DataFrame(rows, columns=[*names[:17], "fields", "methods"])
 
     found = files.filter(F.size(splitlines(F.col("text"))) <= max_lines).select("path", "text").mapInPandas(extract, TYPES)
     if not include_comments:
