@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,30 +79,6 @@ def template_chunks(templates: DataFrame, most: int = V.MAX_CHUNK_LINES, least:
     )
 
 
-def batch_pack(rows: DataFrame, group: list[str], order: str, tokens: str, most_tokens: int = V.TOKENS_PER_BATCH, most_items: int = V.ITEMS_PER_BATCH) -> DataFrame:
-    """Greedy batches in order: a batch closes before the row that would exceed its tokens or its items: (group, order,
-    batch). The rows of a group are three numbers each and pass one task as a stream, in time linear in their number; a
-    group that may hold a large share of all rows should be cut into blocks by a further column."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_now, batch, n, total = None, 0, 0, 0
-        for b in batches:
-            out = []
-            for name, t in zip(zip(*(c.to_pylist() for c in b.columns[:-2]), strict=True), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                t = t or 0
-                if name != group_now:
-                    group_now, batch, n, total = name, 0, 0, 0
-                elif n and (total + t > most_tokens or n >= most_items):
-                    batch, n, total = batch + 1, 0, 0
-                n, total = n + 1, total + t
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int64())], names=[*group, order, "batch"])
-
-    narrow = rows.select(*group, order, tokens).repartition(*group).sortWithinPartitions(*group, order)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(number, f"{kinds}, batch long")
-
-
 def oversize(chunks: DataFrame, text: str, most: int = V.OVERSIZE_TOKENS) -> DataFrame:
     """Rows over the token limit, with the reason; the others are what can be embedded."""
     return chunks.withColumn("tokens", token_estimate(F.col(text))).filter(F.col("tokens") > most).withColumn("reason", F.lit("too many tokens"))

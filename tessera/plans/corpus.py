@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import analyze
 from tessera.functions import values as V
 from tessera.functions.text import chunk_id, embedding_text, hash_choice, jaccard, token_estimate
-from tessera.operators import chunking, training
+from tessera.operators import batches, chunking, training
 from tessera.plans.retrieval import table
 
 # --- chunks ------------------------------------------------------------------------------------------------------------
@@ -43,14 +43,17 @@ def oversize_largest(spark, sf_dir):
     return chunking.oversize(table(spark, sf_dir, "documents"), "text", 5000).select("doc_id", "tokens").orderBy(F.desc("tokens"), "doc_id").limit(5)
 
 
-#: Ids of a source that are batched in one sequence; a next block begins a next batch.
-BLOCK = 500
+def _sized(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", "doc_id", token_estimate(F.col("text")).alias("tokens"))
 
 
 def batch_pack(spark, sf_dir):
-    """Batches for each source and block of ids, so that no source is one task."""
-    docs = table(spark, sf_dir, "documents").select("source", (F.col("doc_id") / BLOCK).cast("long").alias("block"), "doc_id", token_estimate(F.col("text")).alias("tokens"))
-    return chunking.batch_pack(docs, ["source", "block"], "doc_id", "tokens")
+    """All documents as one running sequence."""
+    return batches.batch_pack(_sized(spark, sf_dir), [], "doc_id", "tokens")
+
+
+def batch_pack_by_source(spark, sf_dir):
+    return batches.batch_pack(_sized(spark, sf_dir), ["source"], "doc_id", "tokens")
 
 
 def embedding_texts(spark, sf_dir):
@@ -74,15 +77,18 @@ h AS (SELECT *, regexp_matches(line, '^[A-Z][^ ]*[.]$') AS head FROM x),
 s AS (SELECT *, sum(head::int) OVER (PARTITION BY key ORDER BY pos) AS section FROM h)
 SELECT key, section::bigint AS section, coalesce(max(CASE WHEN head THEN trim(regexp_replace(line, '^#+', '')) END), '') AS title, min(pos) AS start_line, sha256(string_agg(line, chr(10) ORDER BY pos)) AS content_sha256
 FROM s GROUP BY key, section"""
-PACK_SQL = f"""WITH RECURSIVE d AS (
-  SELECT source, doc_id // {BLOCK} AS block, doc_id, length(text) // 2 AS tokens, row_number() OVER (PARTITION BY source, doc_id // {BLOCK} ORDER BY doc_id) AS rn FROM documents
+
+def _pack_sql(group: str) -> str:
+    over = "p.total + d.tokens > 15000 OR p.n >= 100"
+    return f"""WITH RECURSIVE d AS (
+  SELECT {group} AS g, doc_id, length(text) // 2 AS tokens, row_number() OVER (PARTITION BY {group} ORDER BY doc_id) AS rn FROM documents
 ), p AS (
-  SELECT source, block, doc_id, rn, 0 AS batch, 1 AS n, tokens AS total FROM d WHERE rn = 1
+  SELECT g, doc_id, rn, 0 AS batch, 1 AS n, tokens AS total FROM d WHERE rn = 1
   UNION ALL
-  SELECT d.source, d.block, d.doc_id, d.rn, p.batch + (p.total + d.tokens > 15000 OR p.n >= 100)::int,
-         CASE WHEN p.total + d.tokens > 15000 OR p.n >= 100 THEN 1 ELSE p.n + 1 END, CASE WHEN p.total + d.tokens > 15000 OR p.n >= 100 THEN d.tokens ELSE p.total + d.tokens END
-  FROM p JOIN d ON d.source = p.source AND d.block = p.block AND d.rn = p.rn + 1
-) SELECT source, block, doc_id, batch::bigint AS batch FROM p"""
+  SELECT d.g, d.doc_id, d.rn, p.batch + ({over})::int, CASE WHEN {over} THEN 1 ELSE p.n + 1 END, CASE WHEN {over} THEN d.tokens ELSE p.total + d.tokens END
+  FROM p JOIN d ON d.g = p.g AND d.rn = p.rn + 1
+) SELECT g AS source, doc_id, batch::bigint AS batch FROM p"""
+
 
 # --- questions ----------------------------------------------------------------------------------------------------------
 
@@ -289,7 +295,7 @@ WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(trim(lower({
 JACCARD = f"round(CASE WHEN len(list_distinct(list_concat({WORDS('prompt')}, {WORDS('answer')}))) = 0 THEN 1.0::double ELSE len(list_intersect({WORDS('prompt')}, {WORDS('answer')}))::double / len(list_distinct(list_concat({WORDS('prompt')}, {WORDS('answer')}))) END, 6)"
 
 QUERIES = {f.__name__: f for f in (
-    line_chunks, section_split, token_estimates, oversize_report, oversize_largest, batch_pack, embedding_texts, chunk_ids,
+    line_chunks, section_split, token_estimates, oversize_report, oversize_largest, batch_pack, batch_pack_by_source, embedding_texts, chunk_ids,
     intent_classify, query_recommend, primary_terms, search_keywords, term_expand, question_analysis, question_language, history_window, history_trim, enhanced_question,
     json_keys, json_explode, json_path, chat_format, chat_parse, train_val_split, split_stats, sample_rows, shuffle_rows, template_choice, jaccard_pairs, eval_summary, eval_compare, file_figures,
 )}
@@ -300,7 +306,8 @@ ORACLES = {
     "token_estimates": "SELECT doc_id, length(text) // 2 AS tokens FROM documents",
     "oversize_report": "SELECT 'too many tokens' AS reason, lang, count(*) AS n, sum(length(text) // 2)::bigint AS tokens FROM documents WHERE length(text) // 2 > 5000 GROUP BY lang",
     "oversize_largest": "SELECT doc_id, length(text) // 2 AS tokens FROM documents WHERE length(text) // 2 > 5000 ORDER BY tokens DESC, doc_id LIMIT 5",
-    "batch_pack": PACK_SQL,
+    "batch_pack": f"SELECT doc_id, batch FROM ({_pack_sql("''")})",
+    "batch_pack_by_source": _pack_sql("source"),
     "embedding_texts": "SELECT doc_id, sha256(concat_ws(chr(10), 'Language: ' || lang, 'Type: document', 'Class: ' || source, 'Code:' || chr(10) || text)) AS text_sha256 FROM documents",
     "chunk_ids": "SELECT doc_id, left(sha256(source || ':' || doc_id || ':document'), 16) AS id FROM documents",
     "intent_classify": f"SELECT conv_id, turn, {INTENT} AS intent FROM {USERS_SQL}",
