@@ -104,12 +104,12 @@ class Retriever:
         return search.vector_topk(chunks, self.model([question], self.dims)[0], k, threshold, id_col="id")
 
     def _enums_of(self, name: str, language: str | None) -> DataFrame:
-        """id of the enums that belong to a class, by the prefix of their name or the parent in their metadata: among the best of
+        """id and place of the enums that belong to a class, the best ones first, by the prefix of their name or the parent in their metadata: among the best of
         a keyword search, else of a vector search."""
         enums = self._filtered(language, "enum")
         own = enums.filter(F.startswith("class_name", F.lit(f"{name}.")) | (F.get_json_object("metadata", "$.parent_class") == name)).select("id")
-        found = search.keyword_search(enums, [f"{name}.Type", f"{name}.Category", name, "enum"], 10).join(own, "id", "left_semi").select("id")
-        return found if not found.isEmpty() else self._vector(enums, f"{name} enum inner enum Type Category", 5, 0.3).join(own, "id", "left_semi").select("id")
+        found = search.keyword_search(enums, [f"{name}.Type", f"{name}.Category", name, "enum"], 10).join(own, "id", "left_semi").select("id", (-F.col("relevance")).alias("place"))
+        return found if not found.isEmpty() else self._vector(enums, f"{name} enum inner enum Type Category", 5, 0.3).join(own, "id", "left_semi").select("id", (-F.col("similarity")).alias("place"))
 
     def query(self, question: str, top_k: int | None = None, language: str | None = None, chunk_type: str | None = None, include_dependencies: bool | None = None, max_dependencies: int = 3, hybrid: bool = True, min_similarity: float | None = None) -> Answer:
         a = self.analyse(question)
@@ -139,7 +139,7 @@ class Retriever:
                 found, direct = search.pin(found, inner), None
         if direct is not None:
             if a["intent"] == "schema":
-                every = store.chunks_of_class(self.chunks, direct.first()["class_name"]).select("id")
+                every = store.chunks_of_class(self.chunks, direct.first()["class_name"]).select("id", F.col("start_line").alias("place"))
                 found = search.pin(found.limit(0), every)
             else:
                 found = search.pin(found, direct)
@@ -219,13 +219,13 @@ class Conversation:
 class Session(Conversation):
     """A conversation where a question about classes goes past the history, to classes alone, with more results."""
 
-    def ask(self, question: str, top_k: int = 10, language: str | None = None, **options) -> Answer | None:
+    def ask(self, question: str, top_k: int | None = None, language: str | None = None, **options) -> Answer | None:
         if not question.strip():
             return None
         if "class" not in question.lower():
             return super().ask(question, top_k=top_k, **options)
         named = self.retriever.chunks.sparkSession.createDataFrame([(question,)], "q string").select(analyze.asked_language(F.col("q"))).first()[0]
-        return self.retriever.query(question, top_k=max(3 * top_k, 20), language=language or named, chunk_type="class", **options)
+        return self.retriever.query(question, top_k=max(3 * (top_k or 10), 20), language=language or named, chunk_type="class", **options)
 
 
 def shown(chunks: DataFrame, kind: str = "sources") -> DataFrame:
@@ -237,9 +237,10 @@ def shown(chunks: DataFrame, kind: str = "sources") -> DataFrame:
     return chunks.select(*first, F.coalesce("class_name", "file_path").alias("name"), "chunk_type", place.alias("place"), "references", preview.alias("preview"))
 
 
-def dispatch(chunks: DataFrame, question: str | None = None, class_name: str | None = None, template: str | None = None, retrieve_only: bool = False, top_k: int = 10, language: str | None = None, with_dependencies: bool = False, **retriever):
+def dispatch(chunks: DataFrame, question: str | None = None, class_name: str | None = None, template: str | None = None, retrieve_only: bool = False, top_k: int | None = None, language: str | None = None, with_dependencies: bool = False, **retriever):
     """One request, by the first of these that is given: a class with its context, the classes that a template refers to, or a
-    question (an Answer; retrieve_only: the chunks with their similarity). An empty index is an error."""
+    question (an Answer; retrieve_only: the chunks with their similarity). Without top_k the intent of the question decides how
+    many. An empty index is an error."""
     if chunks.isEmpty():
         raise ValueError("nothing is indexed yet")
     r = Retriever(chunks, **retriever)
@@ -250,7 +251,7 @@ def dispatch(chunks: DataFrame, question: str | None = None, class_name: str | N
     if not question:
         raise ValueError("give a question, a class name or a template")
     if retrieve_only:
-        return shown(r.retrieve_only(question, top_k, language).withColumnRenamed("similarity", "score").join(chunks.drop("embedding"), "id"))
+        return shown(r.retrieve_only(question, top_k or 10, language).withColumnRenamed("similarity", "score").join(chunks.drop("embedding"), "id"))
     listing = chunks.sparkSession.createDataFrame([(question,)], "q string").select(analyze.asks_for_class_list(F.col("q")), analyze.asked_language(F.col("q"))).first()
     if listing[0]:
         return r._class_list(question, r.analyse(question), language or listing[1])

@@ -126,11 +126,13 @@ def boost(results: DataFrame, is_boosted: Column, factor: float = 2.0) -> DataFr
 
 
 def pin(results: DataFrame, pinned: DataFrame) -> DataFrame:
-    """pinned (id) at the head with score 1, once each; the others keep their order behind."""
-    head = pinned.select("id").distinct().select("id", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("rank"))
-    rest = results.select("id", "score", "rank").join(head.select("id"), "id", "left_anti")
-    rank = F.row_number().over(Window.orderBy("rank", "id")).cast("long")
-    return head.unionByName(rest).withColumn("rank", rank)
+    """pinned (id) at the head with score 1, once each, in the order of ``place`` if there is one and of the id; the others keep
+    their order behind."""
+    place = F.min(F.col("place").cast("double")) if "place" in pinned.columns else F.lit(0.0)
+    head = pinned.groupBy("id").agg(place.alias("place")).select("id", F.lit(1.0).alias("score"), F.lit(0).cast("long").alias("rank"), "place")
+    rest = results.select("id", "score", "rank", F.lit(0.0).alias("place")).join(head.select("id"), "id", "left_anti")
+    rank = F.row_number().over(Window.orderBy("rank", "place", "id")).cast("long")
+    return head.unionByName(rest).withColumn("rank", rank).drop("place")
 
 
 def reference_search(references: DataFrame, name: str, k: int) -> DataFrame:
