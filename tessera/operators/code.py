@@ -12,6 +12,7 @@ from tessera.functions import java
 from tessera.functions import values as V
 from tessera.functions.text import base_type, chunk_id, pascal_names, splitlines, strings
 from tessera.operators.chunking import truncated
+from tessera.session import bounded, checkpointed
 
 METHOD = "struct<name:string,return_type:string,parameters:array<struct<type:string,name:string>>,modifiers:array<string>,annotations:array<string>,documentation:string,body:string,start_line:int,end_line:int>"
 TYPES = (
@@ -98,15 +99,29 @@ def raw_references() -> Column:
     return F.array_sort(F.array_except(F.array_except(F.array_distinct(every), strings(*COMMON_TYPES)), F.array("name")))
 
 
+def _named(types: DataFrame) -> DataFrame:
+    """path, number, name, parent and raw references of all types, kept: a narrow table for what needs the whole corpus."""
+    return checkpointed(types.select("path", "number", "name", "parent", raw_references().alias("raw")))
+
+
+def _known(named: DataFrame) -> DataFrame:
+    known = named.filter("parent = -1").select("name").distinct()
+    each = named.select("path", "number", F.explode("raw").alias("name")).join(known, "name", "left_semi")
+    return each.groupBy("path", "number").agg(F.array_sort(F.collect_set("name")).alias("references"))
+
+
 def known_references(types: DataFrame) -> DataFrame:
     """path, number, references: those that are classes of the whole corpus (found before, so order does not matter)."""
-    known = types.filter("parent = -1").select("name").distinct()
-    named = types.select("path", "number", F.explode(raw_references()).alias("name")).join(known, "name", "left_semi")
-    return named.groupBy("path", "number").agg(F.array_sort(F.collect_set("name")).alias("references"))
+    return _known(_named(types))
 
 
 def java_chunks(types: DataFrame, least: int = V.MIN_CHUNK_LINES, most: int = V.MAX_CHUNK_LINES) -> DataFrame:
-    """Chunks of classes, their methods, and inner classes and enums (first level)."""
+    """Chunks of classes, their methods, and inner classes and enums (first level).
+
+    The types are read twice: for the narrow table of names and references, which is kept, and for the chunks of all three
+    kinds, which one explode gives for each type."""
+    named = _named(types)
+    parents = named.filter("parent = -1").select("path", F.col("number").alias("parent"), F.col("name").alias("parent_class"))
     field_lines = F.transform("fields", lambda f: F.concat(F.lit("    "), F.array_join(F.concat(f["modifiers"], F.array(f["type"], f["name"])), " "), F.lit(";")))
     method_lines = F.transform("methods", lambda m: F.concat(F.lit("\n    "), signature(m)))
     head = F.array_compact(F.array("documentation", F.when(F.size("annotations") > 0, F.array_join("annotations", "\n")), F.concat(type_signature(), F.lit(" {"))))
@@ -114,33 +129,34 @@ def java_chunks(types: DataFrame, least: int = V.MIN_CHUNK_LINES, most: int = V.
     counts = F.array(F.concat(F.lit("    // fields: "), F.size("fields").cast("string")), F.concat(F.lit("    // methods: "), F.size("methods").cast("string")))
     brief = F.array_join(F.concat(F.array_compact(F.array("documentation", F.concat(type_signature(), F.lit(" {")))), counts, F.transform("methods", lambda m: F.concat(F.lit("    // "), signature(m))), F.array(F.lit("}"))), "\n")
     meta = lambda *c: F.to_json(F.struct(*c))
-    nothing, no_refs = F.lit(None).cast("string"), F.array().cast("array<string>")
-    refs = known_references(types)
-
-    def out(rows: DataFrame, kind: Column, name: Column, content: Column, start: Column, end: Column, class_name: Column, method: Column, references: Column, metadata: Column) -> DataFrame:
-        shaped = rows.select(
-            chunk_id(F.col("path"), name, kind).alias("id"), content.alias("content"), F.lit("java").alias("language"), kind.alias("chunk_type"), F.col("path").alias("file_path"), start.alias("start_line"),
-            end.alias("end_line"), class_name.alias("class_name"), method.alias("method_name"), F.col("documentation"), references.alias("references"), metadata.alias("metadata"),
-        )
-        return shaped
-
-    outer = types.filter("parent = -1").join(refs, ["path", "number"], "left").withColumn("full", full).filter(F.size(splitlines(F.col("full"))) >= least)
-    classes = out(
-        outer, F.lit("class"), F.col("name"), F.when(F.size(splitlines(F.col("full"))) > most, brief).otherwise(F.col("full")), F.col("start_line"), F.col("end_line"), F.col("name"), nothing,
-        F.coalesce("references", no_refs), meta("package", "class_type", "extends", "implements", "imports"),
-    )
-    methods = java_methods(types.filter("parent = -1"))
-    about = F.concat_ws("\n", F.concat(F.lit("// Class: "), "class_name"), F.when(F.col("package") != "", F.concat(F.lit("// Package: "), "package")), "documentation", "body")
-    methods = methods.withColumn("lines", splitlines(about)).filter(F.size("lines") >= least)
-    of_methods = out(
-        methods, F.lit("method"), F.concat_ws(".", "class_name", "name"), truncated(F.col("lines"), most), F.col("start_line"), F.col("end_line"), F.col("class_name"), F.col("name"), no_refs, meta("return_type", "parameters", "modifiers")
-    )
-    parents = types.select("path", F.col("number").alias("parent"), F.col("name").alias("parent_class"))
-    inner = types.filter("depth = 1 AND class_type IN ('enum', 'class')").join(parents, ["path", "parent"]).join(refs, ["path", "number"], "left")
-    inner = inner.withColumn("lines", splitlines(F.concat_ws("\n", F.concat(F.lit("// Inner type of: "), "parent_class"), "documentation", "source_code"))).filter(F.size("lines") >= least)
+    nothing = F.lit(None).cast("string")
+
+    def piece(kind: Column, name: Column, text: Column, short: Column, start: Column, end: Column, class_name: Column, method: Column, doc: Column, metadata: Column) -> Column:
+        values = {"kind": kind, "name": name, "text": text, "short": short, "start_line": start, "end_line": end, "class_name": class_name, "method_name": method, "documentation": doc, "metadata": metadata}
+        return F.struct(*(v.alias(k) for k, v in values.items()))
+
+    own = piece(F.lit("class"), F.col("name"), full, brief, F.col("start_line"), F.col("end_line"), F.col("name"), nothing, F.col("documentation"), meta("package", "class_type", "extends", "implements", "imports"))
     qualified = F.concat_ws(".", "parent_class", "name")
-    of_inner = out(inner, F.col("class_type"), qualified, truncated(F.col("lines"), most), F.col("start_line"), F.col("end_line"), qualified, nothing, F.coalesce("references", no_refs), meta("package", "class_type", "parent_class", "extends", "implements"))
-    return classes.unionByName(of_methods).unionByName(of_inner)
+    inner = piece(
+        F.col("class_type"), qualified, F.concat_ws("\n", F.concat(F.lit("// Inner type of: "), "parent_class"), "documentation", "source_code"), nothing, F.col("start_line"), F.col("end_line"), qualified, nothing, F.col("documentation"),
+        meta("package", "class_type", "parent_class", "extends", "implements"),
+    )
+
+    def method(m: Column) -> Column:
+        about = F.concat_ws("\n", F.concat(F.lit("// Class: "), "name"), F.when(F.col("package") != "", F.concat(F.lit("// Package: "), "package")), m["documentation"], m["body"])
+        return piece(F.lit("method"), F.concat_ws(".", "name", m["name"]), about, nothing, m["start_line"], m["end_line"], F.col("name"), m["name"], m["documentation"], meta(*(m[c].alias(c) for c in ("return_type", "parameters", "modifiers"))))
+
+    wanted = types.filter("parent = -1 OR depth = 1 AND class_type IN ('enum', 'class')").join(bounded(parents), ["path", "parent"], "left")
+    # an outer explode: from an inner one Spark would derive a filter that makes all the texts once more
+    pieces = F.when(F.col("parent") < 0, F.concat(F.array(own), F.transform("methods", method))).otherwise(F.array(inner))
+    each = wanted.select("path", "number", F.explode_outer(pieces).alias("p")).select("path", "number", "p.*").withColumn("lines", splitlines(F.col("text"))).filter(F.size("lines") >= least)
+    content = F.when(F.col("kind") == "method", truncated(F.col("lines"), most)).when(F.col("short").isNull(), truncated(F.col("lines"), most)).otherwise(F.when(F.size("lines") > most, F.col("short")).otherwise(F.col("text")))
+    shaped = each.select(
+        "path", F.when(F.col("kind") != "method", F.col("number")).alias("number"), chunk_id(F.col("path"), F.col("name"), F.col("kind")).alias("id"), content.alias("content"), F.lit("java").alias("language"), F.col("kind").alias("chunk_type"),
+        F.col("path").alias("file_path"), "start_line", "end_line", "class_name", "method_name", "documentation", "metadata",
+    )
+    out = shaped.join(bounded(checkpointed(_known(named))), ["path", "number"], "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>")))
+    return out.select("id", "content", "language", "chunk_type", "file_path", "start_line", "end_line", "class_name", "method_name", "documentation", "references", "metadata")
 
 
 def _indent(line: Column) -> Column:
@@ -150,42 +166,48 @@ def _indent(line: Column) -> Column:
 def generic_blocks(files: DataFrame, max_lines: int = 500) -> DataFrame:
     """files: path, text, language. A module block for each file, and blocks that begin with a pattern of the language:
     (path, language, code_type, name, start_line, end_line, source, documentation). Python blocks end before the first line
-    that is not indented more; others where their braces balance, or with the file."""
-    cut = files.withColumn("lines", splitlines(F.col("text"))).filter(F.size("lines") <= max_lines)
+    that is not indented more; others where their braces balance, or with the file.
+
+    A file is read and cut once: the lines that begin a block of its language, with their kinds, are one array, and the module
+    is its first element."""
     quoted = F.regexp_extract("text", r'(?s)\A\s*(?:"""(.*?)"""|\'\'\'.*?\'\'\')', 1)
     other = F.regexp_extract("text", r"(?s)\A\s*'''(.*?)'''", 1)
     jsdoc = F.regexp_extract("text", r"(?s)\A\s*/\*\*(.*?)\*/", 1)
     doc = F.when(F.col("language") == "python", F.coalesce(F.nullif(F.trim(quoted), F.lit("")), F.nullif(F.trim(other), F.lit("")))).when(F.col("language").isin("javascript", "typescript"), F.nullif(F.trim(jsdoc), F.lit("")))
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
-    module = cut.select("path", "language", F.lit("module").alias("code_type"), stem.alias("name"), F.lit(1).alias("start_line"), F.size("lines").alias("end_line"), F.col("text").alias("source"), doc.alias("documentation"))
     count = lambda line, c: F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
-    shaped = cut.withColumn("delta", F.transform("lines", lambda x: count(x, "{") - count(x, "}"))).withColumn("opens", F.transform("lines", lambda x: count(x, "{")))
-    out = module
-    for language, patterns in BLOCKS.items():
-        for kind, pattern in patterns.items():
-            at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(pattern))  # noqa: B023
-            one = shaped.filter((F.col("language") == language) & (F.size("lines") > 0)).select("path", "language", "lines", "delta", "opens", F.explode(at).alias("start"))
-            after = F.slice("lines", F.col("start") + 1, F.size("lines"))
-            if language == "python":
-                first = F.element_at("lines", F.col("start"))
-                stop = F.array_position(F.transform(after, lambda x: (F.trim(x) != "") & (_indent(x) <= _indent(first))), True)  # noqa: B023
-                length = F.when(stop == 0, F.size("lines") - F.col("start") + 1).otherwise(stop)
-            else:
-                window = F.arrays_zip(F.slice("delta", F.col("start"), F.size("lines")).alias("d"), F.slice("opens", F.col("start"), F.size("lines")).alias("o"))
-                start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(False).alias("seen"), F.lit(0).alias("end"))
-
-                def step(a: Column, x: Column) -> Column:
-                    total, seen = a["sum"] + x["d"], a["seen"] | (x["o"] > 0)
-                    done = (a["end"] == 0) & seen & (total == 0)
-                    return F.struct((a["n"] + 1).alias("n"), total.alias("sum"), seen.alias("seen"), F.when(done, a["n"] + 1).otherwise(a["end"]).alias("end"))
-
-                end = F.aggregate(window, start, step, lambda a: a["end"])
-                length = F.when(end == 0, F.size("lines") - F.col("start") + 1).otherwise(end)
-            out = out.unionByName(one.withColumn("length", length.cast("int")).select(
-                "path", "language", F.lit(kind).alias("code_type"), F.regexp_extract(F.element_at("lines", F.col("start")), pattern, 1).alias("name"), F.col("start").alias("start_line"),
-                (F.col("start") + F.col("length") - 1).alias("end_line"), F.array_join(F.slice("lines", F.col("start"), F.col("length")), "\n").alias("source"), F.lit(None).cast("string").alias("documentation"),
-            ))
-    return out
+    cut = files.withColumn("lines", splitlines(F.col("text"))).filter(F.size("lines") <= max_lines)
+    cut = cut.withColumn("delta", F.transform("lines", lambda x: count(x, "{") - count(x, "}"))).withColumn("opens", F.transform("lines", lambda x: count(x, "{"))).withColumn("indents", F.transform("lines", lambda x: F.when(F.trim(x) != "", _indent(x))))
+
+    def kinds_of(line: Column) -> Column:
+        """Kinds and names of what a line begins, by its file's language."""
+        found = F.array().cast("array<struct<kind:string,name:string>>")
+        for language, patterns in BLOCKS.items():
+            own = F.array(*(F.when(line.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("name"))) for kind, p in patterns.items()))
+            found = F.when(F.col("language") == language, F.array_compact(own)).otherwise(found)
+        return found
+
+    begun = F.flatten(F.transform("lines", lambda x, i: F.transform(kinds_of(x), lambda k: F.struct((i + 1).alias("start"), k["kind"].alias("kind"), k["name"].alias("name")))))
+    module = F.array(F.struct(F.lit(0).alias("start"), F.lit("module").alias("kind"), stem.alias("name")))
+    each = cut.select("path", "language", "lines", "delta", "opens", "indents", "text", doc.alias("doc"), F.explode_outer(F.concat(module, begun)).alias("b")).select("*", "b.*")
+
+    first = F.get("indents", F.col("start") - 1)
+    stop = F.array_position(F.transform(F.slice("indents", F.col("start") + 1, F.size("lines")), lambda x: F.coalesce(x <= first, F.lit(False))), True)
+    window = F.arrays_zip(F.slice("delta", F.greatest("start", F.lit(1)), F.size("lines")).alias("d"), F.slice("opens", F.greatest("start", F.lit(1)), F.size("lines")).alias("o"))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(False).alias("seen"), F.lit(0).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        total, seen = a["sum"] + x["d"], a["seen"] | (x["o"] > 0)
+        done = (a["end"] == 0) & seen & (total == 0)
+        return F.struct((a["n"] + 1).alias("n"), total.alias("sum"), seen.alias("seen"), F.when(done, a["n"] + 1).otherwise(a["end"]).alias("end"))
+
+    rest = F.size("lines") - F.col("start") + 1
+    length = F.when(F.col("start") == 0, F.size("lines")).when(F.col("language") == "python", F.when(stop == 0, rest).otherwise(stop)).otherwise(F.coalesce(F.nullif(F.aggregate(window, nothing, step, lambda a: a["end"]), F.lit(0)), rest))
+    whole = F.col("start") == 0
+    return each.withColumn("start_line", F.greatest("start", F.lit(1))).withColumn("length", length.cast("int")).select(
+        "path", "language", F.col("kind").alias("code_type"), "name", "start_line", (F.col("start_line") + F.col("length") - 1).alias("end_line"),
+        F.when(whole, F.col("text")).otherwise(F.array_join(F.slice("lines", F.col("start_line"), F.col("length")), "\n")).alias("source"), F.when(whole, F.col("doc")).alias("documentation"),
+    )
 
 
 def block_chunks(blocks: DataFrame, least: int = V.MIN_CHUNK_LINES, most: int = V.MAX_CHUNK_LINES) -> DataFrame:

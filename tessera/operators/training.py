@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard
-from tessera.session import checkpointed
+from tessera.session import bounded, checkpointed
+
+#: Offers that one task decides in order, and rounds of proposals before that.
+OFFERS_AT_ONCE, PROPOSALS = 500_000, 4
 
 
 def split(rows: DataFrame, key: str, share: float = 0.1, most: int | None = 500) -> DataFrame:
@@ -77,27 +84,65 @@ def compare(base: DataFrame, tuned: DataFrame, key: str = "prompt") -> DataFrame
     return base.select(key, F.col("actual").alias("base")).join(tuned.select(key, F.col("actual").alias("tuned")), key, "full_outer")
 
 
+def _first_choices(offers: DataFrame) -> DataFrame:
+    """The class that each template of a bounded number of offers gets, one after the other in order, in one task."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, served, pairs = set(), None, []
+        for b in batches:
+            for template, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if template != served and name not in taken:
+                    taken.add(name)
+                    pairs.append((name, template))
+                    served = template
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["name", "keeper"])
+
+    return offers.select("template", "name", "pos").coalesce(1).sortWithinPartitions("template", "pos", "name").mapInArrow(choose, "name string, keeper string")
+
+
+def serial_choice(offers: DataFrame, at_once: int = OFFERS_AT_ONCE, proposals: int = PROPOSALS) -> DataFrame:
+    """offers: template, pos, name. (name, keeper): templates choose in order, each the first class it names that is free.
+
+    First some rounds in which all templates propose at once: each proposes its next class, a class keeps the first template
+    that proposes, and refused offers are gone; since all classes prefer the same order, nothing is refused that would be
+    taken one by one. What is contested then is decided in stretches of ``at_once`` offers in order of their templates, each in
+    one task; its classes leave the offers behind it. So there are never more rounds than offers over ``at_once``, and some."""
+    offers = checkpointed(offers)
+    for _ in range(proposals):
+        best = offers.groupBy("template").agg(F.min(F.struct("pos", "name")).alias("at")).select("template", F.col("at.name").alias("name"))
+        taken = best.groupBy("name").agg(F.min("template").alias("keeper"))
+        refused = checkpointed(best.join(taken, "name").filter("template <> keeper").select("template", "name"))
+        if refused.isEmpty():
+            return taken
+        offers = checkpointed(offers.join(refused, ["template", "name"], "left_anti"))
+    done = []
+    while not offers.isEmpty():
+        stretch = checkpointed(offers.orderBy("template", "pos", "name").limit(at_once))
+        low, high, n = stretch.agg(F.min("template"), F.max("template"), F.count(F.lit(1))).first()
+        if n == at_once and low != high:  # the last template may have more offers behind
+            stretch = stretch.filter(F.col("template") < high)
+            rest = offers.filter(F.col("template") >= high)
+        else:  # a single template takes its first free class, wherever its offers are cut
+            rest = offers.filter(F.col("template") > high)
+        chosen = checkpointed(_first_choices(stretch))
+        done.append(chosen)
+        offers = checkpointed(rest.join(bounded(chosen.select("name"), at_once), "name", "left_anti"))
+    return reduce(DataFrame.unionByName, done) if done else offers.select("name", F.col("template").alias("keeper"))
+
+
 def tiered_match(classes: DataFrame, templates: DataFrame, references: DataFrame, manual: DataFrame) -> DataFrame:
     """classes: name; templates: template; references: template, pos, name; manual: name, template.
 
     (name, template, tier): manual pairs first, then templates named like a class, then templates that refer to a class. A
     template is used once. In the last tier templates choose in order: each takes the first class it names that has no pair
-    yet. That is done in rounds of joins: each template proposes its next class, a class keeps the first template that
-    proposes, and the others go on; since all classes prefer the same order, the result is that of choosing one by one."""
+    yet, see ``serial_choice``."""
     by_hand = manual.join(classes, "name", "left_semi").join(templates, "template", "left_semi")
     by_hand = by_hand.groupBy("template").agg(F.min("name").alias("name")).select("name", "template", F.lit("manual").alias("tier"))
     left = templates.join(by_hand, "template", "left_anti")
     exact = left.join(classes, left.template == classes.name).select("name", "template", F.lit("exact").alias("tier"))
     paired = by_hand.unionByName(exact)
     open_refs = references.join(left, "template", "left_semi").join(exact, "template", "left_anti").join(classes, "name", "left_semi").join(paired.select("name").distinct(), "name", "left_anti")
-    offers = checkpointed(open_refs.groupBy("template", "name").agg(F.min("pos").alias("pos")))
-    while True:
-        best = offers.groupBy("template").agg(F.min(F.struct("pos", "name")).alias("at")).select("template", F.col("at.name").alias("name"))
-        taken = best.groupBy("name").agg(F.min("template").alias("keeper"))
-        refused = checkpointed(best.join(taken, "name").filter("template <> keeper").select("template", "name"))
-        if refused.isEmpty():
-            break
-        offers = checkpointed(offers.join(refused, ["template", "name"], "left_anti"))
+    taken = serial_choice(open_refs.groupBy("template", "name").agg(F.min("pos").alias("pos")))
     return paired.unionByName(taken.select("name", F.col("keeper").alias("template"), F.lit("reference").alias("tier")))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import pascal_names
-from tessera.operators import search, store
+from tessera.operators import graph, search, store
 from tessera.operators.cell_index import CellIndex
 from tessera.operators.gram_index import GramIndex
 from tessera.session import checkpointed, scratch
@@ -198,6 +198,13 @@ def dependency_expand(spark, sf_dir):
     return search.dependencies(sources, references(spark, sf_dir, own), classes(spark, sf_dir))
 
 
+def dependency_hops(spark, sf_dir):
+    """Classes that documents lead to within three references, with the fewest hops, from those whose id is divisible by 50."""
+    edges = references(spark, sf_dir).join(classes(spark, sf_dir), "name").select(F.col("id").alias("source"), F.col("class_id").alias("target"))
+    starts = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("start"))
+    return graph.reachable(edges, starts, 3).withColumn("depth", F.col("depth").cast("long"))
+
+
 def class_context(spark, sf_dir):
     known = checkpointed(classes(spark, sf_dir))
     name = known.orderBy("class_id", "name").first()["name"]
@@ -305,9 +312,15 @@ UPSERT_SQL = """SELECT doc_id AS id, lang, CASE WHEN lang IN ('en', 'fr') AND n_
 STATS_SQL = """SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'total' END AS "grouping", coalesce(lang, source) AS value, count(*) AS n, count(DISTINCT source) AS files
 FROM documents GROUP BY GROUPING SETS ((lang), (source), ())"""
 
+HOPS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT r.id AS source, c.class_id AS target FROM ({REFS_SQL}) r JOIN ({CLASSES_SQL}) c USING (name) WHERE r.id <> c.class_id),
+h AS (
+  SELECT doc_id AS start, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 50 = 0
+  UNION SELECT h.start, e.target, h.depth + 1 FROM h JOIN e ON e.source = h.node WHERE h.depth < 3
+) SELECT start, node, min(depth)::bigint AS depth FROM h GROUP BY start, node"""
+
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_label, vector_threshold, vector_topk_many, vector_language, ann_cells, ann_stored, keyword_search, keyword_indexed, keyword_language, keyword_documentation_only,
-    hybrid_rrf, rrf_boosted, rrf_pinned, references_count, reference_search, known_classes_of, dependency_expand, class_context, context_build,
+    hybrid_rrf, rrf_boosted, rrf_pinned, references_count, reference_search, known_classes_of, dependency_expand, dependency_hops, class_context, context_build,
     stats_combined, stats_language, stats_source, stats_distinct, list_sorted, chunks_of_group, names_by_language, chunks_like, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge, store_changes,
 )}
 
@@ -329,6 +342,7 @@ ORACLES = {
     "reference_search": REFERENCE_SQL,
     "known_classes_of": f"SELECT id, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM ({REFS_SQL}) WHERE name IN (SELECT name FROM ({CLASSES_SQL})) GROUP BY id",
     "dependency_expand": DEPENDENCY_SQL,
+    "dependency_hops": HOPS_SQL,
     "class_context": CONTEXT_SQL,
     "context_build": BUILD_SQL,
     "stats_combined": STATS_SQL,

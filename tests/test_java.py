@@ -72,3 +72,34 @@ def test_time_is_linear(broken):
 
     assert took(2000) < 1.5  # ten thousand lines
     assert took(8000) < 12 * max(took(1000), 0.05)
+
+
+def test_one_reading_for_all_chunks(spark):
+    from tessera.operators import code
+    from tessera.plans import samples
+
+    chunks = code.java_chunks(code.java_types(spark.createDataFrame(samples.JAVA, "path string, text string")))
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+    kinds = {(r.chunk_type, r.class_name, r.method_name): r for r in chunks.collect()}
+    assert kinds["class", "OrderService", None].references and "// Inner type of: OrderService" in kinds["enum", "OrderService.State", None].content
+    assert kinds["method", "OrderService", "processOrder"].content.startswith("// Class: OrderService") and kinds["method", "OrderService", "processOrder"].references == []
+
+
+def test_one_reading_for_all_blocks(spark, tmp_path):
+    from tessera.operators import code
+
+    go = "package p\n\ntype Pool struct {\n  n int\n}\n\nfunc (p *Pool) Get(a int) int {\n  if a > 0 {\n    return 1\n  }\n  return p.n\n}\nfunc open() {\n"
+    ts = "/** Client. */\nexport interface Opts {\n  a: number\n}\nexport type Id = string\nexport class Client {\n  get() { return 1 }\n}\nexport async function main() {\n}\n"
+    rows = [("a/pool.go", go, "go"), ("b/client.ts", ts, "typescript"), ("c/empty.py", "", "python"), ("d/x.py", '"""Doc."""\nclass A:\n  def f(self):\n    pass\n\n  x = 1\ndef g(a):\n  return a\n', "python"), ("e/y.rb", "class A\nend\n", "ruby")]
+    spark.createDataFrame(rows, "path string, text string, language string").write.parquet(str(tmp_path / "f"))
+    blocks = code.generic_blocks(spark.read.parquet(str(tmp_path / "f")))
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = sorted((r.path, r.code_type, r.name, r.start_line, r.end_line) for r in blocks.collect())
+    assert got == sorted([
+        ("a/pool.go", "module", "pool", 1, 13), ("a/pool.go", "struct", "Pool", 3, 5), ("a/pool.go", "function", "Get", 7, 12), ("a/pool.go", "function", "open", 13, 13),
+        ("b/client.ts", "module", "client", 1, 10), ("b/client.ts", "interface", "Opts", 2, 4), ("b/client.ts", "type", "Id", 5, 8), ("b/client.ts", "class", "Client", 6, 8), ("b/client.ts", "function", "main", 9, 10),
+        ("c/empty.py", "module", "empty", 1, 0), ("d/x.py", "module", "x", 1, 8), ("d/x.py", "class", "A", 2, 6), ("d/x.py", "function", "g", 7, 8), ("e/y.rb", "module", "y", 1, 2),
+    ])
+    docs = {r.path: r.documentation for r in blocks.collect() if r.code_type == "module"}
+    assert docs["d/x.py"] == "Doc." and docs["b/client.ts"] == "Client." and docs["a/pool.go"] is None
