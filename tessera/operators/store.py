@@ -101,7 +101,7 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, path: str, dims: int = 768, buckets: int = 16):
         self.spark, self.path, self.dims = spark, path.rstrip("/"), dims
-        self.table = LayeredTable(spark, path, CHUNK_SCHEMA, partition=("language", "chunk_type"), sort=("file_path", "start_line", "id"), looked_up=("id", "class_name"), buckets=buckets)
+        self.table = LayeredTable(spark, path, CHUNK_SCHEMA, partition=("language", "chunk_type"), sort=("file_path", "start_line", "id"), looked_up=("id", "class_name"), sketched=("file_path", "class_name"), buckets=buckets)
 
     def create(self) -> None:
         """An empty store, whatever was there; older versions stay until ``vacuum``."""
@@ -146,6 +146,10 @@ class ChunkStore:
         since = self.version()
         return self._delete(self.table.read(since.n).filter(F.startswith("file_path", F.lit(prefix))), since)
 
+    def distinct(self, *by: str) -> DataFrame:
+        """Estimates of the different files and classes by language or type, or both, or over all, without reading chunks."""
+        return self.table.distinct(*by)
+
     def compact(self) -> None:
         self.table.compact()
 

@@ -290,13 +290,30 @@ def upsert_merge(spark, sf_dir):
     return store.upsert(old, new, created=None)
 
 
-def store_changes(spark, sf_dir):
-    """Documents in a store through a stack of changes: most of them, then every fifth anew or for the first time, without one
-    group of sources; and what is left after folding."""
+def _as_chunks(spark, sf_dir) -> DataFrame:
     whole = chunks(spark, sf_dir)
     kinds = dict(x.split(" ") for x in store.CHUNK_SCHEMA.split(", "))
     whole = whole.withColumns({c: F.lit(None).cast(kind) for c, kind in kinds.items() if c not in whole.columns})
-    whole = whole.withColumns({"id": F.col("id").cast("string"), "chunk_type": F.lit("document"), "seq": F.lit(1), "number": F.col("id")})
+    return whole.withColumns({"id": F.col("id").cast("string"), "chunk_type": F.lit("document"), "seq": F.lit(1), "number": F.col("id")})
+
+
+def stats_sketched(spark, sf_dir):
+    """Different files and documents of a store by language, each document a class of its own, from sketches of two changes:
+    whether they are within a twentieth of the exact numbers."""
+    whole = _as_chunks(spark, sf_dir).withColumn("class_name", F.concat(F.lit("Doc"), "id"))
+    kept = store.ChunkStore(spark, scratch(spark, "chunks"))
+    kept.create()
+    kept.upsert(whole.filter("number % 3 <> 0").drop("number"))
+    kept.upsert(whole.filter("number % 3 = 0").drop("number"))
+    exact = whole.groupBy("language").agg(F.count_distinct("file_path").alias("files"), F.count_distinct("class_name").alias("classes"))
+    near = lambda c, n: (F.abs(F.col(c) - F.col(n)) <= 0.05 * F.col(n)).alias(f"{n}_near")
+    return exact.join(kept.distinct("language"), "language").select("language", "files", "classes", near("file_path", "files"), near("class_name", "classes"))
+
+
+def store_changes(spark, sf_dir):
+    """Documents in a store through a stack of changes: most of them, then every fifth anew or for the first time, without one
+    group of sources; and what is left after folding."""
+    whole = _as_chunks(spark, sf_dir)
     kept = store.ChunkStore(spark, scratch(spark, "chunks"))
     kept.create()
     kept.upsert(whole.filter("number % 10 <> 0").drop("number"))
@@ -321,7 +338,7 @@ h AS (
 QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_label, vector_threshold, vector_topk_many, vector_language, ann_cells, ann_stored, keyword_search, keyword_indexed, keyword_language, keyword_documentation_only,
     hybrid_rrf, rrf_boosted, rrf_pinned, references_count, reference_search, known_classes_of, dependency_expand, dependency_hops, class_context, context_build,
-    stats_combined, stats_language, stats_source, stats_distinct, list_sorted, chunks_of_group, names_by_language, chunks_like, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge, store_changes,
+    stats_combined, stats_language, stats_source, stats_distinct, stats_sketched, list_sorted, chunks_of_group, names_by_language, chunks_like, prefix_filter, delete_by_prefix, delete_by_file, upsert_merge, store_changes,
 )}
 
 ORACLES = {
@@ -349,6 +366,7 @@ ORACLES = {
     "stats_language": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "stats_source": "SELECT source, count(*) AS n FROM documents GROUP BY source",
     "stats_distinct": "SELECT count(*) AS n, count(DISTINCT source) AS files, count(*) FILTER (WHERE lang = 'en') AS english FROM documents",
+    "stats_sketched": "SELECT lang AS language, count(DISTINCT source) AS files, count(DISTINCT doc_id) AS classes, true AS files_near, true AS classes_near FROM documents GROUP BY lang",
     "list_sorted": "SELECT lang, source, doc_id FROM documents ORDER BY ALL",
     "chunks_of_group": f"SELECT doc_id AS id, lang AS language, doc_id AS line FROM documents WHERE source = '{PREFIX}'",
     "names_by_language": """SELECT "group", max(total) AS n, string_agg(name, ',' ORDER BY place) AS first FROM (

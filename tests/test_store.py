@@ -119,3 +119,13 @@ def test_lookup_reads_its_buckets(spark, store):
     assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "PushedFilters: [In(id" in plan or "EqualTo(id" in plan
     files = store.lookup(["17"]).select(F.input_file_name()).distinct().count()
     assert files == 1 and store.read().select(F.input_file_name()).distinct().count() >= 4
+
+
+def test_sketches(spark, store):
+    assert store.distinct().collect()[0].file_path in (0, None)
+    store.upsert(chunks(spark, range(500)))
+    store.upsert(chunks(spark, range(250, 900), path="b").withColumn("class_name", F.concat(F.lit("C"), "seq")))
+    (r,) = store.distinct("language").collect()
+    assert r.language == "java" and r.file_path == 14 and abs(r.class_name - 650) <= 13
+    plan = store.distinct("language")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "/rows" not in plan
