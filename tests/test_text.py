@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import analyze, text
-from tessera.operators import chunking, search
+from tessera.operators import batches, search
 
 ODD = st.text(alphabet=st.sampled_from(list("ab \t\n\r\x0b\x0c\x1c\x1d\x1e\x85  é#")), max_size=20)
 
@@ -22,7 +22,7 @@ def test_splitlines(spark, texts):
 @given(st.lists(st.integers(0, 20), min_size=1, max_size=60))
 def test_batches_hold_their_limits_in_order(spark, tokens):
     rows = spark.createDataFrame([("g", i, t) for i, t in enumerate(tokens)], "g string, i long, t long")
-    got = [(r.i, r.batch) for r in chunking.batch_pack(rows, ["g"], "i", "t", most_tokens=30, most_items=4).orderBy("i").collect()]
+    got = [(r.i, r.batch) for r in batches.batch_pack(rows, ["g"], "i", "t", most_tokens=30, most_items=4).orderBy("i").collect()]
     expected, batch, total, n = [], 0, 0, 0
     for i, t in enumerate(tokens):
         if n and (total + t > 30 or n >= 4):
