@@ -88,7 +88,7 @@ class Codec:
     """Encoder and decoder of one vocabulary file; ids are little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             content = json.load(f)
@@ -98,19 +98,20 @@ class Codec:
         whole = Tokenizer.from_file(path)
         whole.no_truncation()
         whole.no_padding()
-        piece = Tokenizer(whole.model)
-        piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = _Known(lambda p: _packed(piece.encode(p, add_special_tokens=False).ids))
+        # the model merges the printable stand-ins of a piece's bytes
+        byte = byte_of_symbol()
+        symbols, merge = {b: c for c, b in byte.items()}, whole.model.tokenize
+        self.pieces = _Known(lambda p: _packed([t.id for t in merge(p.encode().decode("latin-1").translate(symbols))]))
         self.units = _Known(lambda u: _packed(whole.encode(u.decode(), add_special_tokens=False).ids))
         self.special = {t["content"].encode(): _packed([t["id"]]) for t in special}
         self.split = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")") if special else None
         self.chunks: dict[bytes, tuple] = {}
         self.held = self.encoded = self.reused = 0
         # the bytes of all ids, one after the other, and where each begins
-        byte, vocabulary = byte_of_symbol(), content["model"]["vocab"] | {t["content"]: t["id"] for t in special}
+        vocabulary = content["model"]["vocab"] | {t["content"]: t["id"] for t in special}
         strings = [b""] * (max(vocabulary.values()) + 1)
-        for symbols, i in vocabulary.items():
-            strings[i] = bytes(byte[c] for c in symbols) if all(c in byte for c in symbols) else symbols.encode()
+        for token, i in vocabulary.items():
+            strings[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.size = np.fromiter(map(len, strings), np.int64, len(strings))
         self.at = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(strings), np.uint8)
