@@ -93,3 +93,16 @@ def language_of(path: Column, languages: dict[str, str]) -> Column:
     """By the suffix, or null."""
     table = F.create_map(*(F.lit(x) for pair in languages.items() for x in pair))
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1)))
+
+
+def duration_seconds(begin: Column, end: Column) -> Column:
+    """Seconds between two timestamps, with their fraction; null if one is. The session's time zone does not matter."""
+    part = lambda unit: F.extract(F.lit(unit), end - begin)
+    return (part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60).cast("double") + part("SECOND").cast("double")
+
+
+def duration_text(seconds: Column) -> Column:
+    """Hours, minutes and seconds as "1h 2m 3s"; fractions are left out."""
+    whole = F.floor(seconds)
+    parts = [F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60]
+    return F.concat(*(x for p, mark in zip(parts, ("h ", "m ", "s"), strict=True) for x in (p.cast("string"), F.lit(mark))))

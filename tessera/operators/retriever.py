@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import analyze
 from tessera.functions import values as V
-from tessera.functions.text import chunk_id, embedding_text, splitlines
+from tessera.functions.text import chunk_id, embedding_text, language_of, splitlines
 from tessera.operators import chunking, code, search, store, strategies, training
 from tessera.operators.embedding import embed, hashed_terms
 from tessera.session import bounded, checkpointed
@@ -50,6 +50,16 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return _shaped(code.java_chunks(types)).unionByName(_shaped(blocks)).unionByName(_shaped(templates)).unionByName(_shaped(cut))
 
 
+def scan_file(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """Chunks of one file by its suffix: Java declarations, or blocks of a known language; another file has none. Paths are
+    below ``base``, else below the file's folder; references are classes of the file."""
+    file = files.relative(files.one_file(spark, path), base or path.rpartition("/")[0] or ".")
+    if path.endswith(".java"):
+        return _shaped(code.java_chunks(code.java_types(file)))
+    known = file.withColumn("language", language_of(F.col("path"), V.LANGUAGES)).filter("language IS NOT NULL")
+    return _shaped(code.block_chunks(code.generic_blocks(known)))
+
+
 def index(spark: SparkSession, folder: str, into: store.ChunkStore, reset: bool = False, dry_run: bool = False, model: Callable = hashed_terms) -> DataFrame:
     """Scans, embeds and upserts a tree; gives the counts by language and type. dry_run: counts only."""
     chunks = scan(spark, folder)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import analyze
 from tessera.functions import values as V
-from tessera.functions.text import chunk_id, embedding_text, hash_choice, jaccard, token_estimate
+from tessera.functions.text import chunk_id, duration_seconds, duration_text, embedding_text, hash_choice, jaccard, token_estimate
 from tessera.operators import batches, chunking, training
 from tessera.plans.retrieval import table
 
@@ -294,8 +294,18 @@ def file_figures(spark, sf_dir):
 WORDS = lambda c: f"list_distinct(list_filter(regexp_split_to_array(trim(lower({c})), '\\s+'), lambda x: x <> ''))"
 JACCARD = f"round(CASE WHEN len(list_distinct(list_concat({WORDS('prompt')}, {WORDS('answer')}))) = 0 THEN 1.0::double ELSE len(list_intersect({WORDS('prompt')}, {WORDS('answer')}))::double / len(list_distinct(list_concat({WORDS('prompt')}, {WORDS('answer')}))) END, 6)"
 
+def active_times(spark, sf_dir):
+    """The time from the first to the last event of each user."""
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    seconds = duration_seconds(F.col("first"), F.col("last"))
+    return seen.select("user_id", seconds.alias("seconds"), duration_text(seconds).alias("shown"))
+
+
+ACTIVE_SQL = """SELECT user_id, us / 1000000.0::double AS seconds, us // 3600000000 || 'h ' || us // 60000000 % 60 || 'm ' || us // 1000000 % 60 || 's' AS shown
+FROM (SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY user_id)"""
+
 QUERIES = {f.__name__: f for f in (
-    line_chunks, section_split, token_estimates, oversize_report, oversize_largest, batch_pack, batch_pack_by_source, embedding_texts, chunk_ids,
+    line_chunks, section_split, token_estimates, oversize_report, oversize_largest, batch_pack, batch_pack_by_source, active_times, embedding_texts, chunk_ids,
     intent_classify, query_recommend, primary_terms, search_keywords, term_expand, question_analysis, question_language, history_window, history_trim, enhanced_question,
     json_keys, json_explode, json_path, chat_format, chat_parse, train_val_split, split_stats, sample_rows, shuffle_rows, template_choice, jaccard_pairs, eval_summary, eval_compare, file_figures,
 )}
@@ -306,6 +316,7 @@ ORACLES = {
     "token_estimates": "SELECT doc_id, length(text) // 2 AS tokens FROM documents",
     "oversize_report": "SELECT 'too many tokens' AS reason, lang, count(*) AS n, sum(length(text) // 2)::bigint AS tokens FROM documents WHERE length(text) // 2 > 5000 GROUP BY lang",
     "oversize_largest": "SELECT doc_id, length(text) // 2 AS tokens FROM documents WHERE length(text) // 2 > 5000 ORDER BY tokens DESC, doc_id LIMIT 5",
+    "active_times": ACTIVE_SQL,
     "batch_pack": f"SELECT doc_id, batch FROM ({_pack_sql("''")})",
     "batch_pack_by_source": _pack_sql("source"),
     "embedding_texts": "SELECT doc_id, sha256(concat_ws(chr(10), 'Language: ' || lang, 'Type: document', 'Class: ' || source, 'Code:' || chr(10) || text)) AS text_sha256 FROM documents",

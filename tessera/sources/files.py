@@ -16,6 +16,12 @@ def files(spark: SparkSession, folder: str, suffixes: list[str], recursive: bool
     return raw.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).filter("text IS NOT NULL")
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """path, text of a file, whatever its suffix; no row if it is no UTF-8."""
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).filter("text IS NOT NULL")
+
+
 def relative(df: DataFrame, base: str, column: str = "path") -> DataFrame:
     """Paths below ``base``; others stay as they are."""
     clean = F.regexp_replace(column, r"^file:/+", "/")

@@ -245,3 +245,21 @@ def test_evaluate(spark):
 
     got = {r.prompt: (r.success, r.similarity, r.error) for r in retriever.evaluate(prompts, generate).collect()}
     assert got == {"a": (True, 0.666667, None), "b": (True, 0.333333, None), "boom": (False, None, "down")}
+
+
+def test_one_file_by_its_suffix(spark, tree):
+    whole = {r.id: r for r in retriever.scan(spark, tree).collect()}
+    some = next(r.file_path for r in whole.values() if r.chunk_type == "class")
+    java = retriever.scan_file(spark, f"{tree}/{some}", tree).collect()
+    assert java and {r.id for r in java} == {r.id for r in whole.values() if r.file_path == some}
+    tool = retriever.scan_file(spark, f"{tree}/tools/tool.py", tree).collect()
+    assert {r.id for r in tool} == {r.id for r in whole.values() if r.file_path == "tools/tool.py"} and {r.file_path for r in retriever.scan_file(spark, f"{tree}/tools/tool.py").collect()} <= {"tool.py"}
+    assert retriever.scan_file(spark, f"{tree}/docs/notes.txt").count() == 0 and retriever.scan_file(spark, f"{tree}/tools/bad.py").count() == 0
+
+
+def test_durations(spark):
+    from tessera.functions.text import duration_seconds, duration_text
+
+    rows = spark.sql("SELECT timestamp_ntz'2024-03-30 23:30:00' AS a, timestamp_ntz'2024-04-01 01:31:02.5' AS b UNION ALL SELECT timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:00:59.9' UNION ALL SELECT null, timestamp_ntz'2024-01-01 00:00:00'")
+    seconds = duration_seconds(F.col("a"), F.col("b"))
+    assert [tuple(r) for r in rows.select(seconds, duration_text(seconds)).collect()] == [(93662.5, "26h 1m 2s"), (59.9, "0h 0m 59s"), (None, None)]
