@@ -85,6 +85,12 @@ NAMES = (
 REFERENCE = "[{this|the} {work|software|program|project|code|source code|file|library|package|module|document} is] {released|licensed|distributed|available|made available|published} under [the terms of] [the|a|an] %s [the license] [see <12>]"
 
 
+FREE = "{this program|this library|this software|this file|it} is free software you can redistribute it and or modify it under the terms of"
+PUBLISHED = "as published by the free software foundation"
+# What a GNU notice without a version stands for, which is any version.
+ANY_VERSION = {"gpl": "GPL-1.0-or-later", "lgpl": "LGPL-2.0-or-later", "agpl": "AGPL-3.0-or-later"}
+
+
 def _references() -> Iterator[tuple[str, str]]:
     for licence, name in NAMES:
         yield f"ref {licence}", REFERENCE % name
@@ -93,11 +99,13 @@ def _references() -> Iterator[tuple[str, str]]:
             said = f"[version|v] {{{v}|{v.removesuffix('.0')}|v{v.removesuffix('.0')}}}"
             for suffix, more in (("only", "[only]"), ("or-later", "or {later|any later version|at your option any later version}")):
                 yield f"ref {short}-{v}-{suffix}", REFERENCE % f"{{{name}|{key}}} {said} {more}"
-                license_of = f"under the terms of [version {v.removesuffix('.0')} of] the {name} [version {v.removesuffix('.0')}] as published by the free software foundation"
-                later = "or at your option any later version" if suffix == "or-later" else ""
-                version = f"{{either version|version}} {{{v}|{v.removesuffix('.0')}}} of the license" if later else f"[version {{{v}|{v.removesuffix('.0')}}} of the license]"
-                if later or v != "3.0" or key != "lgpl":
-                    yield f"{key}-{v}-{suffix}", f"{{this program|this library|this software|this file|it}} is free software you can redistribute it and or modify it {license_of} {version} {later}"
+                number = f"{{{v}|{v.removesuffix('.0')}}}"
+                if suffix == "or-later":
+                    yield f"{key}-{v}-{suffix}", f"{FREE} [version {number} of] the {name} [version {number}] {PUBLISHED} {{either version|version}} {number} of the license or at your option any later version"
+                else:  # the version has to be said, before or behind the publisher
+                    yield f"{key}-{v}-{suffix}", f"{FREE} {{{{version {number} of the {name}|the {name} version {number}}} {PUBLISHED} [version {number} of the license]|the {name} {PUBLISHED} version {number} of the license}}"
+        yield f"{key}-any", f"{FREE} the {name} {PUBLISHED}"
+
 
 
 #: (licence, identifiers in order), tried from the top; ? may be left out, * may repeat or be left out. An identifier that
@@ -112,6 +120,7 @@ RULES = (
     ("Zlib", ("copyright*", "zlib-warranty", "zlib-liability", "zlib-grant")),
     ("Apache-2.0", ("copyright*", "all-rights?", "apache2-grant", "apache2-use?", "apache2-copy?", "apache2-warranty?", "apache2-see?")),
     *((f"{short}-{v}-{suffix}", ("copyright*", f"{key}-{v}-{suffix}", "gpl-warranty?", "gpl-see?", "gpl-copy?")) for key, _, short, versions in GNU for v in versions for suffix in ("or-later", "only")),
+    *((licence, ("copyright*", f"{key}-any", "gpl-warranty?", "gpl-see?", "gpl-copy?")) for key, licence in ANY_VERSION.items()),
     ("MPL-2.0", ("copyright*", "mpl2-header", "mpl2-copy?")),
     ("EPL-2.0", ("copyright*", "epl2-header")),
     ("BSL-1.0", ("copyright*", "bsl1-header")),

@@ -166,3 +166,16 @@ def test_rows(spark):
     span = {r.doc_id: (r.matches[0].start, r.matches[0].end) for r in licenses.scan(docs).collect() if r.matches}
     assert span[None] == (2, 21) and span[5] == (2, 21)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_gnu_notices_by_version():
+    def notice(name, before="", behind="", later=""):
+        return f"This program is free software; you can redistribute it and/or modify it under the terms of {before}the GNU {name} as published by the Free Software Foundation{behind}{later}."
+
+    general, lesser, affero = "General Public License", "Lesser General Public License", "Affero General Public License"
+    option = ", or (at your option) any later version"
+    assert names(notice(general)) == ["GPL-1.0-or-later"] and names(notice(lesser)) == ["LGPL-2.0-or-later"] and names(notice(affero)) == ["AGPL-3.0-or-later"]
+    assert names(notice(general, behind="; version 2 of the License")) == ["GPL-2.0-only"] and names(notice(general, behind=", version 3 of the License")) == ["GPL-3.0-only"]
+    assert names(notice(general, before="version 2 of ")) == ["GPL-2.0-only"] and names(notice(general + " version 3")) == ["GPL-3.0-only"]
+    assert names(notice(lesser, behind=", version 3 of the License")) == ["LGPL-3.0-only"] and names(notice(lesser, before="version 2.1 of ")) == ["LGPL-2.1-only"]
+    assert names(notice(general, behind="; either version 2 of the License", later=option)) == ["GPL-2.0-or-later"] and names(notice(lesser, behind="; either version 3 of the License", later=option)) == ["LGPL-3.0-or-later"]
