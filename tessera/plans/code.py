@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import splitlines
-from tessera.operators import chunking, code, strategies, training
+from tessera.operators import chunking, code, sql, strategies, training
 from tessera.plans.corpus import LINES
 from tessera.plans.retrieval import table
 from tessera.sources import files
@@ -59,6 +59,16 @@ def java_types(spark, sf_dir):
     return _java(spark, sf_dir).select("path", "name", "class_type", "depth", "extends", F.array_join("implements", ",").alias("implements"), F.array_join("modifiers", " ").alias("modifiers"), F.size("fields").cast("long").alias("n_fields"), F.size("methods").cast("long").alias("n_methods"), "start_line", "end_line")
 
 
+def sql_java_types(spark, sf_dir):
+    """The rows of java_types and their ids, by one SQL text with a lateral call."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT f.path, t.name, t.class_type, t.depth, t.extends, array_join(t.implements, ',') AS implements, CAST(size(t.methods) AS BIGINT) AS n_methods, t.start_line, t.end_line,
+  chunk_key(f.path, t.name, 'class') AS id, plain_type(t.fields[1].type) AS second_type FROM {files} f, LATERAL java_types(f.text) t""",
+        files=_java_files(spark, sf_dir),
+    )
+
+
 def java_methods(spark, sf_dir):
     return code.java_methods(_java(spark, sf_dir)).select("path", "class_name", "name", "return_type", F.size("parameters").cast("long").alias("n_parameters"), "start_line", "end_line", F.sha2("body", 256).alias("body_sha256"))
 
@@ -121,7 +131,7 @@ def _examples(name: str):
 
 
 QUERIES = {f.__name__: f for f in (
-    java_types, java_methods, java_references, java_chunks, generic_blocks, block_chunks, markdown_sections, template_chunks, template_references, template_of_class,
+    java_types, sql_java_types, java_methods, java_references, java_chunks, generic_blocks, block_chunks, markdown_sections, template_chunks, template_references, template_of_class,
     tiered_match, tier_counts, unpaired_classes, *(_examples(s) for s in strategies.STRATEGIES),
 )}
 
@@ -163,6 +173,7 @@ CUT = f"(SELECT key, CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END AS
 
 ORACLES: dict = {
     "java_types": f"SELECT path, name, 'class' AS class_type, 0 AS depth, ext AS extends, CASE WHEN lang = 'en' THEN 'Readable' ELSE '' END AS implements, 'public' AS modifiers, 2 AS n_fields, len(lines) AS n_methods, 6 AS start_line, 9 + 5 * len(lines) AS end_line FROM {JAVA}",
+    "sql_java_types": f"SELECT path, name, 'class' AS class_type, 0 AS depth, ext AS extends, CASE WHEN lang = 'en' THEN 'Readable' ELSE '' END AS implements, len(lines) AS n_methods, 6 AS start_line, 9 + 5 * len(lines) AS end_line, left(sha256(path || ':' || name || ':class'), 16) AS id, 'Doc' || doc_id // 3 AS second_type FROM {JAVA}",
     "java_methods": f"SELECT path, name AS class_name, 'm' || i AS name, 'int' AS return_type, 1 AS n_parameters, place AS start_line, place + 3 AS end_line, sha256({BODY}) AS body_sha256 FROM {METHODS}",
     "java_references": f"SELECT path, 0 AS number, refs AS references FROM {JAVA_REFS}",
     "java_chunks": f"""SELECT {ID.format("name", "'class'")} AS id, 'class' AS chunk_type, name AS class_name, NULL AS method_name, 6 AS start_line, 9 + 5 * len(lines) AS end_line, coalesce(refs, '') AS references FROM {JAVA} LEFT JOIN {JAVA_REFS} USING (path)
