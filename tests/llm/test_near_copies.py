@@ -97,6 +97,23 @@ def test_one_large_group_gives_few_pairs(spark):
     assert [r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_groups_of_varied_changes(spark):
+    """Copies of a few texts with up to four other words each: most pairs of a group are below the similarity, so a link has to be met."""
+    rnd = random.Random(11)
+    bases = [[f"b{b}w{i}" for i in range(120)] for b in range(6)]
+    rows = []
+    for i in range(900):
+        words = list(bases[i % 6])
+        for _ in range(rnd.randrange(5)):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_kept(rows)
+    kept = sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect())
+    _, roots = near_copies.links(near_copies.with_row_id(docs), rounds=1)
+    assert kept == expected and roots.count() > 0
+
+
 def test_pipeline_stage_drops_near_copies_and_keeps_others(spark):
     """On the table: the stage of 2 fingerprint bits kept nearly all near copies and dropped pairs below 0.8."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
