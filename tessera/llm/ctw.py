@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, fold, steps, texts, with_row_id, written
+from tessera.llm.common import checkpoint, fold, steps, texts, trimmed, utf8, with_row_id, written
 
 #: Bytes of context, and the most that there may be: a gram of 7 bytes is a positive long with room for a flag.
 DEPTH, MAX_DEPTH = 5, 6
@@ -167,6 +167,7 @@ def slice_nodes(grams: DataFrame, depth: int) -> DataFrame:
     """context, m (bit node), zeros, ones, weighted (log probability) of the nodes at the depth of slices."""
     span = depth - slice_depth(depth)
 
+    @trimmed
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, gram, train in _blocks(batches):
             levels = Levels(gram, train, span)
@@ -201,6 +202,7 @@ def gram_costs(grams: DataFrame, depth: int) -> DataFrame:
     span = depth - slice_depth(depth)
     nodes = written(slice_nodes(grams, depth))
 
+    @trimmed
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, gram, m, n, train, known, left in _blocks(batches):
             node = m > 0
@@ -265,6 +267,7 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
 def gram_counts(plain: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
     """gram, n, train of each different gram of all texts. plain: text, learn (whether it is a training text)."""
 
+    @trimmed
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -339,6 +342,7 @@ def word_keys(words) -> np.ndarray:
 def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     """k, k2 (key), c of each different training token, the end token included."""
 
+    @trimmed
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
             keys = word_keys(count)
@@ -396,10 +400,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     head = costs.filter(is_head).select("gram", "cost").toArrow()
     grams = sc.broadcast(Lookup(head.column("gram").to_numpy(), head.column("cost").to_numpy()))
 
+    @trimmed
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (places, second, logs), lookup = words.value, grams.value
         unknown = float(np.log10(0.5 / bottom))
-        for b in batches:
+        for b in (whole.slice(i, j - i) for whole in batches for i, j in steps(utf8(whole.column(2))[1])):
             parts, keys, ns, sizes = [], [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], []
             for t in texts(b.column(2)):
                 own = words_of(t)

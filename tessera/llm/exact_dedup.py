@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, joinable, small, settled, texts, with_row_id
+from tessera.llm.common import checkpoint, joinable, small, settled, texts, trimmed, with_row_id
 
 QUOTIENT_BITS = 16
 REMAINDER_BITS = 32
@@ -100,6 +100,7 @@ def fingerprint(normalised: bytes) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rid, doc_id, fp, sha (hex of the normalised text) of each row."""
 
+    @trimmed
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp, sha = [], []
@@ -118,6 +119,7 @@ def repeated_fingerprints(rows: DataFrame, number: int) -> DataFrame:
     """fp of each fingerprint that the merged filter counts more than once. rows: column fp. number: slices, a power of two."""
     width = (1 << QUOTIENT_BITS) // number
 
+    @trimmed
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(parts: list[np.ndarray]) -> pa.RecordBatch:
             pieces = list(CountingQuotientFilter.of(np.concatenate(parts)).slices(number))
@@ -168,6 +170,7 @@ def verified_groups(docs: DataFrame, repeated: DataFrame, text_col: str, id_col:
     number = repeated.count()
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(repeated, number))
 
+    @trimmed
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, words = shared.value
         drop = QUOTIENT_BITS + REMAINDER_BITS - bits

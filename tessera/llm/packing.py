@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, texts, with_row_id
+from tessera.llm.common import checkpoint, texts, trimmed, with_row_id
 
 CAPACITY = 2048
 PIECE = 512
@@ -141,6 +141,7 @@ def windows_for(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, piece: int = PIECE, with_ids: bool = True) -> DataFrame:
     """rid, doc_id, start, length, ids_crc32, doc_tokens of each piece; also ids, if asked for."""
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         for b in batches:

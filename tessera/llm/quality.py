@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, steps, utf8
+from tessera.llm.common import fold, steps, trimmed, utf8
 from tessera.llm.tokens import Tokens, mix
 
 BITS = 18
@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
 
+    @trimmed
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, at = utf8(b.column(1))
@@ -201,6 +202,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id and score of each row. Null is the empty text, which has a score, too; further columns are not looked at."""
     scores = _scorer(docs, model)
 
+    @trimmed
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(b.column(1)))], names=["doc_id", "score"])
@@ -213,6 +215,7 @@ def drop_low_quality(docs: DataFrame, model: Model, text_col: str = "text", thre
     """The input without rows that score below the threshold; all columns stay."""
     scores, place = _scorer(docs, model), docs.columns.index(text_col)
 
+    @trimmed
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(scores(b.column(place)) >= threshold))
