@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, fold, steps, texts, trimmed, utf8, with_row_id, written
 
 #: Bytes of context, and the most that there may be: a gram of 7 bytes is a positive long with room for a flag.
-DEPTH, MAX_DEPTH = 5, 6
+DEPTH, MAX_DEPTH = 6, 6
 #: Levels that are worked on inside of a slice, beside its own.
 SPAN = 2
 HEAD_BITS = 20
