@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, small
 
 
 def _towards_minimum(pairs: DataFrame, keep_own: bool) -> DataFrame:
@@ -20,12 +24,36 @@ def _towards_minimum(pairs: DataFrame, keep_own: bool) -> DataFrame:
     return linked.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def _of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over all edges (u, v) of a bounded table: node and root."""
+    pairs = [np.stack([c.to_numpy() for c in b.columns], axis=1) for b in batches]
+    node, at = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    root = np.arange(len(node))
+    while True:  # labels fall to the smallest neighbour, and each then to the label of its label
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, v, root[u])
+        np.minimum.at(low, root, low.copy())
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, a: str, b: str, at_once: int = 0) -> DataFrame:
     """node and root (the smallest node of its component) of each node that has an edge to another one.
 
     Each round is checkpointed and is a few equi-joins on the node; rounds grow with the logarithm of the longest path.
-    The state stays distributed: only a count and a checksum reach the driver."""
-    now = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    The state stays distributed: only a count and a checksum reach the driver. at_once: nodes are long, and up to so many
+    edges are joined in one task instead of rounds, each of which would cost several small jobs."""
+    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    if at_once:
+        now = checkpoint(now)
+        if small(now, at_once):
+            return now.coalesce(1).mapInArrow(_of_few, "node long, root long")
+    now = checkpoint(now.distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -7,6 +7,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from tessera.llm import near_copies
+from tessera.llm.components import connected_components
 
 
 def brute_shingles(text):
@@ -120,3 +121,26 @@ def test_pipeline_stage_drops_near_copies_and_keeps_others(spark):
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
     kept = sorted(r.doc_id for r in stage(spark, docs, "/root/testdata/sf0.001").collect())
     assert kept == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_rounds_are_few_jobs(spark):
+    """Rounds over few links are few jobs each: a driver keeps the traces of all of them."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame(made(seed=9), "doc_id long, text string")
+    sc.setJobGroup("near", "near copies")
+    try:
+        assert near_copies.drop_near_copies(df).count()
+        jobs = len(sc.statusTracker().getJobIdsForGroup("near"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 160
+
+
+def test_few_links_are_joined_as_many(spark):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(900) * 7 - 2000, rnd.randrange(900) * 7 - 2000) for _ in range(700)] + [(i, i + 1) for i in range(10_000, 10_300)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    many, few = ({(r.node, r.root) for r in connected_components(df, "a", "b", at_once).collect()} for at_once in (0, 5000))
+    assert few == many and (10_300, 10_000) in few
+    assert {(r.node, r.root) for r in connected_components(df, "a", "b", 10).collect()} == many  # too many for one task
+    assert connected_components(df.limit(0), "a", "b", 10).count() == 0
