@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.store import build_cells, probes_for, search_cells
+from tessera.operators.store import build_cells, measured_probes, probes_for, search_cells
 
 
 class CellIndex:
-    """Vectors under ``path``: ``lists`` partitioned by cell, and ``centres``, which are written last: without them there is no
-    index."""
+    """Vectors under ``path``: ``lists`` partitioned by cell, ``probes``, the number of cells that a question probes, and
+    ``centres``, which are written last: without them there is no index."""
 
     def __init__(self, spark: SparkSession, path: str, id_col: str = "vec_id", vector_col: str = "embedding"):
         self.spark, self.path, self.id_col, self.vector_col = spark, path.rstrip("/"), id_col, vector_col
@@ -24,12 +24,14 @@ class CellIndex:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def create(self, vectors: DataFrame, sample_rows: int = 50_000, lists: int | None = None) -> bool:
-        """Fits centres on a bounded sample and indexes every row that has a direction. Nothing happens, and it gives False, if
-        the index is there."""
+        """Fits centres on a bounded sample, indexes every row that has a direction, and measures on a sample of questions how
+        many cells have to be probed. Nothing happens, and it gives False, if the index is there."""
         if self.exists():
             return False
         celled, centres = build_cells(vectors.select(self.id_col, self.vector_col), self.id_col, self.vector_col, sample_rows, lists)
         self._write(celled, "overwrite")
+        probes = measured_probes(self.read(), centres, id_col=self.id_col, vector_col=self.vector_col)
+        self.spark.createDataFrame([(probes,)], "probes int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/probes")
         rows = [(i, c) for i, c in enumerate(centres)]
         self.spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
         return True
@@ -38,6 +40,12 @@ class CellIndex:
         """At most a thousand, by their rule."""
         return [r.centre for r in self.spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()]
 
+    def probes(self) -> int:
+        """As measured; by the rule for an index that was made before this was kept."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/probes/_SUCCESS")
+        kept = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.parquet(f"{self.path}/probes").first()[0] if kept else probes_for(len(self.centres()))
+
     def read(self) -> DataFrame:
         """id, vector, cell of all rows."""
         return self.spark.read.parquet(f"{self.path}/lists")
@@ -65,7 +73,7 @@ class CellIndex:
     def probed(self, questions: DataFrame, probes: int | None = None) -> DataFrame:
         """The rows of the cells that some question (qid, vector) probes; other folders are not read."""
         centres = np.array(self.centres())
-        number = probes_for(len(centres)) if probes is None else probes
+        number = self.probes() if probes is None else probes
 
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -78,4 +86,5 @@ class CellIndex:
 
     def search(self, questions: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(qid, id, similarity, rank) of the best k rows in the probed cells of each question (qid, vector)."""
+        probes = self.probes() if probes is None else probes
         return search_cells(self.probed(questions, probes), self.centres(), questions, k, probes, id_col=self.id_col, vector_col=self.vector_col)

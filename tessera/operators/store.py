@@ -6,6 +6,8 @@ own rows. The functions on DataFrames do the same to a whole table.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import search
 from tessera.operators.layers import LayeredTable, Version
 from tessera.session import bounded, checkpointed
 
@@ -167,6 +170,10 @@ class ChunkStore:
 # --- approximate index ---------------------------------------------------------------------------------------------------
 
 
+#: Share of the nearest rows that the probed cells of measured questions have to hold (0.9 is asked for), and the questions.
+RECALL, QUESTIONS = 0.94, 256
+
+
 def lists_for(rows: int) -> int:
     return max(10, min(1000, rows // 1000))
 
@@ -182,10 +189,28 @@ def build_cells(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
 
 def probes_for(lists: int) -> int:
-    """A quarter of the cells and eight at least: what it takes for a recall of 0.9 on vectors without much structure."""
+    """A quarter of the cells and eight at least: where ``measured_probes`` begins."""
     return min(lists, max(8, -(-lists // 4)))
 
 
+def measured_probes(celled: DataFrame, centres: list[list[float]], k: int = 10, recall: float = RECALL, asked: int = QUESTIONS, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+    """How many cells to probe, measured: the k nearest rows of a bounded sample of rows (of the smallest hashed ids) by exact
+    search over all, without themselves, and in which place of a question's cells each of them lies. So many cells are
+    taken as hold ``recall`` of them; never less than ``probes_for``, which vectors with less structure outgrow."""
+    least = probes_for(len(centres))
+    sample = celled.orderBy(F.xxhash64(id_col), id_col).limit(asked).select(F.col(id_col).cast("long").alias("id"), vector_col).collect()
+    if least == len(centres) or not sample:
+        return least
+    own = dict(enumerate(r[0] for r in sample))
+    scores = search.vector_scores(celled.select(F.concat_ws(":", F.col(id_col).cast("long").cast("string"), F.col("cell").cast("string")).alias("row"), F.col(vector_col).alias("vector")), [(i, r[1]) for i, r in enumerate(sample)], k + 1, "row", "vector")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), "id"))
+    near = scores.withColumn("place", place).filter(F.col("place") <= k + 1).select("qid", F.split("id", ":")[0].cast("long").alias("id"), F.split("id", ":")[1].cast("int").alias("cell")).collect()  # asked * (k + 1) at most
+    order = np.argsort(-(np.array([r[1] for r in sample], np.float64) @ np.array(centres).T), axis=1, kind="stable")
+    places = np.argsort(order, axis=1)
+    needed = np.sort([places[r.qid, r.cell] + 1 for r in near if r.id != own[r.qid]])
+    return max(least, int(needed[math.ceil(recall * len(needed)) - 1])) if len(needed) else least
+
+
 def nearest_cells(centres: list[list[float]], question: list[float], probes: int) -> list[int]:
     score = np.array(centres) @ np.array(question)
     return [int(i) for i in np.argsort(-score, kind="stable")[:probes]]
@@ -196,8 +221,8 @@ def search_cells(celled: DataFrame, centres: list[list[float]], questions: DataF
 
     Questions go to their cells as rows, a block of about ``at_once`` at a time, and meet the vectors of a cell there. A cell of
     more than ``part_rows`` vectors is several parts; its questions go to each of them. A task holds the questions of its part
-    and streams the vectors past them."""
-    probes = probes_for(len(centres)) if probes is None else probes
+    and streams the vectors past them. probes: by default so many as ``measured_probes`` says."""
+    probes = measured_probes(celled, centres, k, id_col=id_col, vector_col=vector_col) if probes is None else probes
     qid, vector = questions.columns[:2]
     matrix = np.array(centres)
     sizes = F.broadcast(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")))  # a row for each centre

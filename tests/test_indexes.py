@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import search
+from tessera.operators import search, store
 from tessera.operators.cell_index import CellIndex
 from tessera.operators.gram_index import GramIndex, grams
 
@@ -33,6 +33,22 @@ def test_cells_are_kept(spark, tmp_path):
     assert "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_recall_without_structure(spark, tmp_path):
+    """Independent vectors in many cells: a quarter of the cells is too few, so their number is measured."""
+    rng = np.random.default_rng(14)
+    rows = [(i, x) for i, x in enumerate(rng.normal(size=(4000, 48)).tolist())]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    asked = v.filter("vec_id % 50 = 0")
+    exact = search.vector_topk_many(v, asked, 10).select("qid", "id")
+    index = CellIndex(spark, str(tmp_path / "cells"))
+    index.create(v.filter("vec_id % 10 <> 3"), lists=60)
+    index.add(v.filter("vec_id % 10 = 3"))
+    assert index.search(asked, 10).join(exact, ["qid", "id"]).count() / 800 >= 0.9
+    celled, centres = store.build_cells(v, lists=60)
+    assert store.search_cells(celled, centres, asked, 10).join(exact, ["qid", "id"]).count() / 800 >= 0.9
+    assert store.probes_for(60) < index.probes() <= 60
+
+
 def test_grams():
     assert len(grams("ab")) == 0 and len(grams("abcabc")) == 3 and len(grams("\U0010ffff" * 4)) == 1
 
