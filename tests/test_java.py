@@ -5,6 +5,9 @@ import time
 import pytest
 
 from tessera.functions import java
+from tessera.operators import code, strategies
+from tessera.plans import code as plans
+from tessera.plans import samples
 
 
 def names(source):
@@ -103,3 +106,26 @@ def test_one_reading_for_all_blocks(spark, tmp_path):
     ])
     docs = {r.path: r.documentation for r in blocks.collect() if r.code_type == "module"}
     assert docs["d/x.py"] == "Doc." and docs["b/client.ts"] == "Client." and docs["a/pool.go"] is None
+
+
+def test_without_texts_and_outer_types(spark):
+    """Narrow readings of the same types, and memory that does not follow the batch: types are sent on by size."""
+    files = spark.createDataFrame([(p, t) for p, t in samples.JAVA] + [("java/None.java", "int x;"), ("java/Empty.java", "")], "path string, text string").coalesce(1)
+    whole, bare = code.java_types(files).collect(), code.java_types(files, texts=False).collect()
+    left_out = lambda r: r | {"source_code": None, "documentation": None, "methods": [m | {"body": None, "documentation": None} for m in r["methods"]]}
+    assert [left_out(r.asDict(True)) for r in whole] == [r.asDict(True) for r in bare]
+    assert [(r.path, r.name) for r in code.outer_types(files).collect()] == [(r.path, r.name) for r in whole if r.parent < 0]
+    batch = ["a", "b", "c"], ["x" * code.STEP_CHARS, "y\n" * 10, "z"]
+    assert [p for p, _ in code._steps(*batch, 10)] == [["a"], ["b", "c"]] and [p for p, _ in code._steps(*batch, 9)] == [["a"], ["c"]]
+    assert code.outer_types(spark.createDataFrame([("a", None), ("b", "class B { }")], "path string, text string")).collect() == [("b", "B")]
+
+
+def scans(df):
+    """How often the types are made in the plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapIn")
+
+
+def test_types_are_made_once(spark):
+    types = code.java_types(spark.createDataFrame(samples.JAVA, "path string, text string"))
+    assert {name: scans(strategies.convert(types, name)) for name in strategies.STRATEGIES} == dict.fromkeys(strategies.STRATEGIES, 1)
+    assert scans(plans.unpaired_classes(spark, "/root/testdata/sf0.001").select("name").distinct()) == scans(plans._outer(spark, "/root/testdata/sf0.001")) == 0  # from the kept names
