@@ -144,3 +144,59 @@ def test_few_links_are_joined_as_many(spark):
     assert few == many and (10_300, 10_000) in few
     assert {(r.node, r.root) for r in connected_components(df, "a", "b", 10).collect()} == many  # too many for one task
     assert connected_components(df.limit(0), "a", "b", 10).count() == 0
+
+
+def test_shared_passage_gives_few_candidates(spark, monkeypatch):
+    """A passage that many texts share puts them under the same keys; those that are not similar give later rounds nothing to join.
+    Before, each round paired every member of such a key, 16 times."""
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(100)]
+    found = {}
+    for n in (150, 300):
+        rows = [(i, " ".join(passage + [f"o{rnd.randrange(10**6)}" for _ in range(30)])) for i in range(n)]
+        base = [f"w{i}" for i in range(120)]
+        for i in range(80):
+            words = list(base)
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+            rows.append((n + i, " ".join(words)))
+        docs, rounds, real = spark.createDataFrame(rows, "doc_id long, text string"), [], type(spark.range(1)).join
+
+        def join(self, other, on=None, how=None, rounds=rounds, real=real):
+            if on == ["a", "b"] and how == "left_anti":
+                rounds.append(self.count())
+            return real(self, other, on, how)
+
+        with monkeypatch.context() as m:
+            m.setattr(type(docs), "join", join)
+            kept = sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect())
+        assert kept == brute_kept(rows) and len(kept) < len(rows) and len(rounds) > 1
+        found[n] = sum(rounds[1:])
+    assert found[300] < 1000 and found[150] < 1000, found
+
+
+def test_partners_are_all_that_may_be_similar():
+    """All pairs of other roots that sizes and parities leave, where they are few; a bounded number of each member's where they are many."""
+    rng = np.random.default_rng(13)
+    node, root = rng.integers(-1 << 62, 1 << 62, 300), rng.integers(0, 200, 300)
+    size = rng.integers(90, 140, 300)
+    parity = np.zeros((300, 8), np.int64)
+    parity[np.arange(300), rng.integers(0, 8, 300)] = rng.integers(0, 1 << 20, 300)
+    expected = {}
+    for i in range(300):
+        for j in range(300):
+            differ = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(parity[i], parity[j], strict=True))
+            sizes = sorted((int(size[i]), int(size[j])))
+            if root[i] != root[j] and sizes[0] >= 0.8 * sizes[1] and differ <= 0.2 / 1.8 * sum(sizes):
+                expected.setdefault(int(node[i]), set()).add(int(node[j]))
+    pairs = {(min(a, b), max(a, b)) for a, x in expected.items() for b in x}
+    got = set(zip(*(x.tolist() for x in near_copies._partners(node, root, size, parity, 5, 0.8)), strict=True))
+    assert got <= pairs and 16 * 300 < len(pairs) and len(got) <= 16 * 300
+    for a, x in expected.items():
+        met = {b for p in got if a in p for b in p} - {a}
+        assert met <= x and len(met) >= min(16, len(x))
+    other = set(zip(*(x.tolist() for x in near_copies._partners(node, root, size, parity, 6, 0.8)), strict=True))
+    assert other != got
+    few = slice(0, 16)
+    own = set(node[few].tolist())
+    assert set(zip(*(x.tolist() for x in near_copies._partners(node[few], root[few], size[few], parity[few], 5, 0.8)), strict=True)) == {p for p in pairs if set(p) <= own}
