@@ -44,6 +44,10 @@ FOLDS, HELD_OUT = 5, 1
 END = 0xFF
 #: Places of a stream that are worked on at once.
 AT_ONCE = 250_000
+#: Bits of a packed count, beside the 57 of a gram and its flag.
+COUNT_BITS = np.uint64(7)
+MOST_COUNT = np.uint64(127)
+PACKED_AT_ONCE = 1_000_000
 #: Different words that a counting task gathers before it sends them on.
 GATHERED = 300_000
 #: Grams of whole slices that are worked on at once, about.
@@ -249,30 +253,57 @@ class Stream:
             yield low, gram, self.pads[i:j] - low
 
 
-def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x)
-    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    return x[first], np.diff(np.r_[first, len(x)])
+def _packed(x: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Sums of packed counts (code << COUNT_BITS | n) that are sorted. Packed again, what does not fit into COUNT_BITS apart as
+    codes and counts."""
+    kept, codes, counts, i = [x[:0]], [], [], 0
+    while i < len(x):  # in blocks of whole codes
+        j = len(x) if len(x) - i <= PACKED_AT_ONCE else int(np.searchsorted(x, x[i + PACKED_AT_ONCE] | MOST_COUNT, side="right"))
+        own = x[i:j]
+        at = np.r_[0, np.flatnonzero((own[1:] ^ own[:-1]) > MOST_COUNT) + 1]
+        n, code = np.add.reduceat(own & MOST_COUNT, at), own[at] & ~MOST_COUNT
+        more = n > MOST_COUNT
+        codes.append((code[more] >> COUNT_BITS).astype(np.int64))
+        counts.append((n[more] & ~MOST_COUNT).astype(np.int64))
+        n &= MOST_COUNT
+        kept.append((code | n)[n > 0])
+        i = j
+    return np.concatenate(kept), tuple(np.concatenate([*c, np.zeros(0, np.int64)]) for c in (codes, counts))
 
 
-def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sums of sorted counts."""
-    code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
-    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-    return [(code[first], np.add.reduceat(n, first))]
+def _split(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows gram, n, train of codes (gram << 1 | whether it is of a training text); codes of one gram that follow each other are one row."""
+    gram, train = code >> 1, n * (code & 1)
+    at = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    columns = gram[at], np.add.reduceat(n, at), np.add.reduceat(train, at)
+    for i in range(0, len(at), AT_ONCE):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + AT_ONCE]) for x in columns], names=["gram", "n", "train"])
 
 
-def gram_counts(plain: DataFrame, depth: int, most: int = 2_000_000) -> DataFrame:
-    """gram, n, train of each different gram of all texts. plain: text, learn (whether it is a training text)."""
+def gram_counts(plain: DataFrame, depth: int, most: int = 4_000_000) -> DataFrame:
+    """gram, n, train of each different gram of all texts. plain: text, learn (whether it is a training text).
+
+    A task holds up to ``most`` different codes as sorted packed counts and merges new ones into them; so what it sends
+    on has a gram once for each flag or little more, and is shuffled without a further aggregate before."""
 
     @trimmed
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["code", "n"])
+        held: list[np.ndarray] = []
+        new = 0
+
+        def added() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held)
+            held.clear()
+            x.sort(kind="stable")  # merges the sorted runs
+            x, apart = _packed(x)
+            held.append(x)
+            if len(apart[0]):
+                yield from _split(*apart)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(held[0]), 4 * AT_ONCE):
+                x = held[0][i : i + 4 * AT_ONCE]
+                yield from _split((x >> COUNT_BITS).astype(np.int64), (x & MOST_COUNT).astype(np.int64))
 
         for b in batches:
             parts = [b" ".join(words_of(t)) for t in texts(b.column(0))]
@@ -281,18 +312,25 @@ def gram_counts(plain: DataFrame, depth: int, most: int = 2_000_000) -> DataFram
                 own = [p for p, x in zip(parts, learn, strict=True) if x == flag]
                 for i, j in steps(np.cumsum([0, *map(len, own)])):
                     for _, gram, pads in Stream(own[i:j], depth).grams():
-                        held.append(counted(np.delete(gram, pads) << 1 | flag))
-                        if sum(len(c) for c, _ in held) > most:
-                            held = _added(held)
-                            if len(held[0][0]) > most // 2:
-                                yield rows()
-                                held = []
+                        code = np.delete(gram, pads).view(np.uint64)
+                        code.sort()
+                        x, apart = _packed((code << np.uint64(1) | np.uint64(flag)) << COUNT_BITS | np.uint64(1))
+                        if len(apart[0]):
+                            yield from _split(*apart)
+                        held.append(x)
+                        new += len(x)
+                        if new > most // 2:
+                            yield from added()
+                            new = 0
+                            if len(held[0]) > most:
+                                yield from rows()
+                                held.clear()
         if held:
-            held = _added(held)
-            yield rows()
+            yield from added()
+            yield from rows()
 
-    coded = plain.select(F.col("text"), F.col("learn")).mapInArrow(out, "code long, n long")
-    return coded.groupBy(F.shiftright("code", 1).alias("gram")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("code") % 2)).alias("train"))
+    coded = plain.select(F.col("text"), F.col("learn")).mapInArrow(out, "gram long, n long, train long")
+    return coded.repartition("gram").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("train").alias("train"))
 
 
 class Lookup:

@@ -180,3 +180,26 @@ def test_model_beats_uniform_and_learns(spark):
     docs = spark.createDataFrame([(i, " ".join(rnd.choice(["spark", "plans", "join", "tables"]) for _ in range(200))) for i in range(100)], "doc_id long, text string")
     rows = [r for r in ctw.score(docs).collect() if r.held_out]
     assert rows and all(r.bits_per_byte < 1.0 for r in rows)
+
+
+def test_grams_leave_a_task_about_once(spark, monkeypatch):
+    """Counts are exact, also beyond what a packed count holds and when a task has to send on early; each task sends a gram once
+    where its codes fit, and nothing is aggregated before the shuffle."""
+    rnd = random.Random(3)
+    texts = ["ab " * 400, None, "", "a"] + [" ".join(rnd.choice(["alpha", "beta", "gamma", "d"]) for _ in range(rnd.randrange(60))) for _ in range(200)]
+    rows = [(t, bool(i % 3)) for i, t in enumerate(texts)]
+    plain = spark.createDataFrame(rows, "text string, learn boolean").coalesce(1)
+    expected = {}
+    for t, learn in rows:
+        raw = bytes([255]) * 4 + b" ".join(ctw.words_of((t or "").encode())) + bytes([255])
+        for i in range(4, len(raw)):
+            gram = int.from_bytes(raw[i - 4 : i][::-1] + raw[i : i + 1], "big")
+            n, train = expected.get(gram, (0, 0))
+            expected[gram] = (n + 1, train + learn)
+    assert max(n for n, _ in expected.values()) > 3 * 127
+    for most in (4_000_000, 20):
+        monkeypatch.setattr(ctw, "AT_ONCE", 250_000 if most > 20 else 64)
+        counts = ctw.gram_counts(plain, 4, most)
+        assert {r.gram: (r.n, r.train) for r in counts.collect()} == expected
+    plan = ctw.gram_counts(plain, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("MapInArrow")
