@@ -33,3 +33,9 @@ def test_blocks_of_long_files(spark, long_texts):
     assert len(got) == 22 * 3
     last = [r for r in got if r[names.index("file_path")] == "tools/doc21.py"]
     assert {r[names.index("chunk_type")] for r in last} == {"module", "class", "function"} and all("Nr2499" in r[names.index("references")] for r in last if r[names.index("chunk_type")] != "class")
+
+
+def test_references_of_long_files(spark, long_texts):
+    names, got = whole(spark, long_texts, "java_references")
+    found = {r[names.index("path")]: r[names.index("references")] for r in got}
+    assert len(found) == 21 and found["java/Doc21.java"] == "Doc10,Doc4,Doc7"
