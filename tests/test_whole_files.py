@@ -39,3 +39,9 @@ def test_references_of_long_files(spark, long_texts):
     names, got = whole(spark, long_texts, "java_references")
     found = {r[names.index("path")]: r[names.index("references")] for r in got}
     assert len(found) == 21 and found["java/Doc21.java"] == "Doc10,Doc4,Doc7"
+
+
+def test_tiers_of_long_files(spark, long_texts):
+    """The class of the longest file is the one that template Doc21 is named like."""
+    names, got = whole(spark, long_texts, "tier_counts")
+    assert dict(zip(*([r[names.index(c)] for r in got] for c in ("tier", "n")), strict=True)) == {"manual": 1, "exact": 4, "reference": 12}
