@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from tessera.llm import near_copies
@@ -200,3 +201,45 @@ def test_partners_are_all_that_may_be_similar():
     few = slice(0, 16)
     own = set(node[few].tolist())
     assert set(zip(*(x.tolist() for x in near_copies._partners(node[few], root[few], size[few], parity[few], 5, 0.8)), strict=True)) == {p for p in pairs if set(p) <= own}
+
+
+def test_all_partners_of_parts():
+    """All pairs of other roots that sizes and parities leave, in one part and between two."""
+    rng = np.random.default_rng(14)
+    node, root, size = rng.permutation(400), rng.integers(0, 150, 400), rng.integers(90, 140, 400)
+    parity = np.zeros((400, 8), np.int64)
+    parity[np.arange(400), rng.integers(0, 8, 400)] = rng.integers(0, 1 << 30, 400)
+
+    def plain(first, second):
+        out = set()
+        for i in first:
+            for j in second:
+                differ = sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(parity[i], parity[j], strict=True))
+                sizes = sorted((int(size[i]), int(size[j])))
+                if root[i] != root[j] and sizes[0] >= 0.8 * sizes[1] and differ <= 0.2 / 1.8 * sum(sizes):
+                    out.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        return out
+
+    for side in (np.zeros(400, np.int64), rng.integers(1, 3, 400)):
+        got = [p for pairs in near_copies._all_partners(side, node, root, size, parity, 0.8) for p in zip(*(x.tolist() for x in pairs), strict=True)]
+        expected = plain(np.flatnonzero(side != 2), np.flatnonzero(side != 1))
+        assert len(got) == len(set(got)) and set(got) == expected and 400 < len(expected)
+
+
+@pytest.mark.parametrize("hot", [1000, 70])
+def test_links_that_no_round_draws(spark, monkeypatch, hot):
+    """A key of 400 texts, nearly similar all of them, and three pairs that are: rounds draw some partners of each and find no
+    link, or not all three."""
+    rnd = random.Random(15)
+    core = [f"c{i}" for i in range(262)]
+    own = lambda n: [f"o{rnd.randrange(10**7)}" for _ in range(n)]
+    texts = [core + own(37) for _ in range(394)]
+    for _ in range(3):
+        shared = own(20)
+        texts += [core + shared + own(17) for _ in range(2)]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_copies, "keys_of", lambda found: np.array([7], np.uint64))
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    kept = sorted(r.doc_id for r in near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == brute_kept(rows) and len(kept) == 397
